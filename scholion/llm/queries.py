@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholion.llm import links
+from scholion.llm import links, lookalike
 from scholion.runtime import table
 
 
@@ -14,8 +14,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.consolidate(table(spark, sf_dir, "duplicate_results"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "raw_papers").select(F.lit("title").alias("field"), F.col("raw_id").alias("key"), F.col("title").alias("text"))
+    names = table(spark, sf_dir, "author_mentions").select(F.lit("name").alias("field"), F.col("mention_id").alias("key"), F.col("name").alias("text"))
+    return lookalike.same_looking([titles, names])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
 }
 
 SQL: dict[str, str] = {}
