@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholion.llm import links, lookalike
+from scholion.llm import history, links, lookalike
 from scholion.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.duplicates_against_history(table(spark, sf_dir, "raw_papers"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.consolidate(table(spark, sf_dir, "duplicate_results"))
 
@@ -21,6 +25,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
 }
