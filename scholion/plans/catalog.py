@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholion.plans import orphans
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (orphans,)
 
 
 def queries() -> dict[str, Query]:
     """All core queries."""
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def sql() -> dict[str, str]:
     """The SQL of the core queries that SQL can express."""
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
