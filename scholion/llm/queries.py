@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholion.llm import history, links, lookalike
+from scholion.llm import history, leaks, links, lookalike, sentences, survivors, tokens
 from scholion.runtime import table
 
 
@@ -24,10 +24,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking([titles, names])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(*(table(spark, sf_dir, t) for t in ("dup_members", "seed_stubs", "raw_papers")))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 
 SQL: dict[str, str] = {}
