@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholion.llm import history, leaks, links, lookalike, sentences, survivors, tokens
+from scholion.llm import history, leaks, links, lookalike, people, sentences, survivors, tokens
 from scholion.runtime import table
 
 
@@ -24,6 +24,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking([titles, names])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = table(spark, sf_dir, "author_mentions").select("name", "affiliation", "orcid", "openalex_id")
+    seeds = table(spark, sf_dir, "seed_papers").select(F.explode("payload.authors.display_name").alias("name"))
+    return people.same_person_pairs(people.people(mentions, seeds))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(*(table(spark, sf_dir, t) for t in ("dup_members", "seed_stubs", "raw_papers")))
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
