@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholion.llm import history, leaks, links, lookalike, people, sentences, survivors, tokens
+from scholion.llm import crosslink, history, leaks, links, lookalike, people, sentences, survivors, tokens
 from scholion.runtime import table
 
 
@@ -34,6 +34,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(*(table(spark, sf_dir, t) for t in ("dup_members", "seed_stubs", "raw_papers")))
 
 
+def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosslink.matched(table(spark, sf_dir, "feed_openreview"), table(spark, sf_dir, "feed_dblp"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir).select(F.col("left_id").alias("openreview_id"), F.col("right_id").alias("dblp_id"))
+
+
+def p7_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir).select(F.col("left_id").alias("openreview_id"), F.col("right_id").alias("dblp_id"), "confidence")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"))
 
@@ -52,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_confidence": p7_confidence,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
