@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.plans import orphans
+from scholion.plans import analytics, orphans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (orphans,)
+MODULES = (analytics, orphans)
 
 
 def queries() -> dict[str, Query]:
