@@ -167,20 +167,6 @@ def char_counts(texts: Iterable[DataFrame]) -> dict[str, int]:
     return dict(found)
 
 
-def look_column(rewrites: dict[str, str]):
-    """A vectorised function: text -> its representative form (null stays null)."""
-    rewriter: list[Rewriter] = []
-
-    @F.pandas_udf("string")
-    def look(texts):  # noqa: ANN001, ANN202
-        if not rewriter:
-            rewriter.append(Rewriter(rewrites))
-        return texts.map(rewriter[0], na_action="ignore")
-
-    look.__annotations__ = {}
-    return look
-
-
 def look_keys(frames: list[DataFrame], rewrites: dict[str, str]) -> DataFrame:
     """(field, key, look, exact): hashes of the look and of the very text of every row."""
 
