@@ -85,7 +85,8 @@ def people(mentions: DataFrame, others: DataFrame) -> DataFrame:
     spellings = names.select("spelling", "full", "short", "initial_keys").dropDuplicates(["spelling"])
     firsts = spellings.where("full is not null").groupBy("full").agg(F.min("spelling").alias("first"))
     by_full = spellings.join(firsts, "full").select(F.col("spelling").alias("src"), F.col("first").alias("dst"))
-    slipped = _slipped(firsts.select("full"))
+    firsts = materialize(firsts, "firsts")
+    slipped = materialize(_slipped(firsts.select("full")), "slipped")
     by_slip = slipped.join(firsts.select(F.col("full").alias("a"), F.col("first").alias("src")), "a").join(firsts.select(F.col("full").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
     marks = told.select("spelling", F.explode(F.array(F.concat(F.lit("o"), F.trim("orcid")), F.concat(F.lit("a"), F.trim("openalex_id")))).alias("mark")).where("mark is not null and length(mark) > 1").distinct()
     mark_firsts = marks.groupBy("mark").agg(F.min("spelling").alias("dst"))
@@ -96,22 +97,24 @@ def people(mentions: DataFrame, others: DataFrame) -> DataFrame:
     )
     certain = settled.withColumn("person", F.coalesce("component", F.when(~F.col("short"), F.col("spelling"))))
     # Initial forms: those still alone look for the one person their form leads to.
-    leads = certain.where("person is not null").select(F.explode("initial_keys").alias("form"), "person").distinct()
+    leads = materialize(certain.where("person is not null").select(F.explode("initial_keys").alias("form"), "person").distinct(), "leads")
     alone = certain.where("person is null").select("spelling", F.element_at("initial_keys", 1).alias("form"))
     single = lambda frame, *by: frame.groupBy(*by).agg(F.min("person").alias("person"), F.max("person").alias("last")).where("person = last").drop("last")
-    clear = alone.join(single(leads, "form"), "form")
+    clear = materialize(alone.join(single(leads, "form"), "form").select("spelling", "form", "person"), "clear")
     unclear = alone.join(clear.select("spelling"), "spelling", "left_anti")
     stem_of = told.where("stem is not null").select("spelling", "stem").distinct()
     stem_leads = leads.join(unclear.select("form").distinct(), "form", "left_semi").join(certain.select("spelling", "person"), "person").join(stem_of, "spelling").select("form", "stem", "person").distinct()
     by_stem = unclear.join(stem_of, "spelling").join(single(stem_leads, "form", "stem"), ["form", "stem"])
-    clear = clear.select("spelling", "person").unionByName(single(by_stem, "spelling"))
-    rest = unclear.join(clear.select("spelling"), "spelling", "left_anti")
+    by_stem = materialize(single(by_stem, "spelling"), "by_stem")
+    clear = clear.select("spelling", "person").unionByName(by_stem)
+    rest = materialize(unclear.join(by_stem.select("spelling"), "spelling", "left_anti"), "rest")
     # A slip in the surname of an initial form.
     variants = lambda frame: frame.select(*frame.columns, F.explode(F.expr("array_union(array(form), transform(sequence(3, length(form)), i -> concat(left(form, i - 1), substring(form, i + 1))))")).alias("variant")).where("length(form) > 6")
     # Forms that lead to someone outright are not looked at again; the others share the person of their slip, or one of their own.
     near = single(variants(rest).join(variants(leads).select("variant", "person").distinct(), "variant"), "spelling").join(
         rest.join(leads.select("form").distinct(), "form", "left_anti").select("spelling"), "spelling", "left_semi"
     )
+    near = materialize(near, "near")
     clear = clear.unionByName(near)
     lonely = rest.join(near.select("spelling"), "spelling", "left_anti")
     nobody = lonely.join(leads.select("form").distinct(), "form", "left_anti")
