@@ -61,11 +61,12 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, tolerance: float | None = None, cut: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, tolerance: float | None = None, cut: int = 2) -> DataFrame:
     """(node, pagerank), summing to one; the mass of nodes without outgoing edges is spread evenly.
 
     Runs ``rounds`` steps, or fewer once the total change falls below ``tolerance``
-    times the number of nodes. Lineage is cut every few steps.
+    times the number of nodes. Lineage is cut every
+    other step, as each refers to the one before twice.
     """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = materialize(edges.join(out, "src").select("src", "dst", "out"), "links")
@@ -93,20 +94,24 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = DAMPING, toler
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 
-def hits(edges: DataFrame, rounds: int = 10, cut: int = 5) -> DataFrame:
-    """(node, hub, authority), each summing to one."""
+def hits(edges: DataFrame, rounds: int = 10, cut: int = 4) -> DataFrame:
+    """(node, hub, authority), each summing to one.
+
+    Only directions matter between rounds, so scores are scaled where lineage is cut
+    and at the end.
+    """
     nodes = nodes_of(edges)
-    hubs = nodes.select("node", F.lit(1.0).alias("h"))
-    auths = None
+    links = materialize(edges, "links")
+    scaled = lambda frame, c: frame.join(F.broadcast(frame.agg(F.sum(c).alias("s")))).select("node", (F.col(c) / F.col("s")).alias(c))
+    hubs, auths = nodes.select("node", F.lit(1.0).alias("h")), nodes.select("node", F.lit(0.0).alias("a")).limit(0)
     for k in range(1, rounds + 1):
-        auths = edges.join(hubs.select(F.col("node").alias("src"), "h"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
-        auths = auths.join(F.broadcast(auths.agg(F.sum("a").alias("s")))).select("node", (F.col("a") / F.col("s")).alias("a"))
-        hubs = edges.join(auths.select(F.col("node").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
-        hubs = hubs.join(F.broadcast(hubs.agg(F.sum("h").alias("s")))).select("node", (F.col("h") / F.col("s")).alias("h"))
-        if k % cut == 0:
-            hubs, auths = materialize(hubs, "hubs"), materialize(auths, "auths")
-    if auths is None:
-        return nodes.select("node", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
+        auths = links.join(hubs.select(F.col("node").alias("src"), "h"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
+        if k == rounds or k % cut == 0:
+            auths = materialize(auths, "auths")
+        hubs = links.join(auths.select(F.col("node").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
+        if k == rounds or k % cut == 0:
+            hubs = scaled(materialize(hubs, "hubs"), "h")
+    auths = scaled(auths, "a")
     return nodes.join(hubs, "node", "left").join(auths, "node", "left").select("node", F.coalesce("h", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority"))
 
 

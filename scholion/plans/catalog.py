@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.plans import analytics, orphans
+from scholion.plans import analytics, entities, graphs, orphans, retrieval, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (analytics, orphans)
+MODULES = (analytics, entities, graphs, retrieval, streams, orphans)
 
 
 def queries() -> dict[str, Query]:

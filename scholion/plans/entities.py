@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from scholion.functions import text as T
 from scholion.operators import relational as R
@@ -103,7 +107,7 @@ def json_properties(spark, sf):
     return table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k is not null")
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), x -> x <> '')[1:25] AS s FROM documents WHERE coalesce(trim(text), '') <> '')
+@query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1:25] AS s FROM documents WHERE coalesce(trim(text), '') <> '')
 SELECT doc_id, p, CASE WHEN ends_with(x, '?') THEN 'question' WHEN regexp_matches(x, '[0-9]') THEN 'result' ELSE 'background' END AS label FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1)::INT AS p FROM s)""")
 def sentence_roles(spark, sf):
     docs = table(spark, sf, "documents").where(T.has_value(F.col("text"))).select("doc_id", F.posexplode(T.first_sentences(F.col("text"))).alias("p", "x"))
@@ -251,11 +255,6 @@ def latest_state(spark, sf):
 @query()
 def sequence_title_match(spark, sf):
     """Titles of both feeds that share their first 12 letters and are nearly the same sequence."""
-    import difflib
-
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
-
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
