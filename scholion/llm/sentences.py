@@ -112,9 +112,12 @@ def _stop_ends(text: str, start: int, dot: int, end: int, after: int, follow: in
         return len(word) > 1 and not word.isascii() and not char.isascii()
     if word and dot > start:
         plain = low.rsplit(".", 1)[-1]
-        if len(word) == 1 and not word.isdigit() and (word.isupper() or low in NEVER or word.islower()):
-            # Initials and single-letter abbreviations; "г." and the like end before a capital.
-            return word.islower() and low in EITHER and upper
+        if len(word) == 1:
+            # Initials and single-letter abbreviations go on; other letters are words ("of x. The").
+            if word.isupper() or low in NEVER:
+                return word.islower() and low in EITHER and upper
+            if word.islower():
+                return upper or strange
         if low in EITHER or (plain in EITHER and "." in low):
             return upper or strange or (char.isdigit() and low in ("etc", "usw"))
         if low in NEVER or (plain in NEVER and "." in low):
