@@ -45,6 +45,7 @@ WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}]+\.)*[\p{L}\p{M}]+$")
 NEXT = regex.compile(r"[\s]*")
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 UNUSUAL = regex.compile(r"\p{Ll}(?:-\p{L}|\p{Lu})")
+NUMBERED = regex.compile(r"[(\[]?\p{N}")
 THAI_SPACE = regex.compile(r"(?<=[\p{Thai}\p{N}%\p{Pe}\p{Pf}ๆฯ.])\s+(?=[\p{L}\p{Ps}\p{Pi}])")
 LAST_LETTER = regex.compile(r"(?r)\p{L}")
 
@@ -123,7 +124,7 @@ def _stop_ends(text: str, start: int, dot: int, end: int, after: int, follow: in
         if low in NEVER or (plain in NEVER and "." in low):
             return False
         if low in BEFORE_NUMBER:
-            return not char.isdigit() and (upper or strange)
+            return not NUMBERED.match(text, follow) and (upper or strange)
         if "." in word and all(len(x) == 1 for x in word.split(".")):
             return upper or strange
     elif dot > start and text[dot - 1].isdigit() and nxt is not None and nxt.group().lower() in MONTHS:

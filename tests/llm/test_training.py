@@ -294,6 +294,7 @@ def test_hamming_search_is_complete():
 CASES = [
     ("It fails. As Dr. Ab noted, e.g. by 3.5 points (cf. Fig. 2), it works! Wait ... does it?! Yes.", ["It fails.", "As Dr. Ab noted, e.g. by 3.5 points (cf. Fig. 2), it works!", "Wait ... does it?!", "Yes."]),
     ("“Does it scale?” asked one. He said “No, not here.” No. 7 is best.", ["“Does it scale?” asked one.", "He said “No, not here.”", "No. 7 is best."]),
+    ("See Sec. 7.2 and Eq. (7) for x. It holds, see Eq. Then stop.", ["See Sec. 7.2 and Eq. (7) for x.", "It holds, see Eq.", "Then stop."]),
     ("Vgl. Abb. 8 zu z. B. Netzen. Am 3. März kam er. „Gut“, schrieb sie.", ["Vgl. Abb. 8 zu z. B. Netzen.", "Am 3. März kam er.", "„Gut“, schrieb sie."]),
     ("Pourquoi ? « Non », dit-il. Quel écart !", ["Pourquoi ?", "« Non », dit-il.", "Quel écart !"]),
     ("¿Por qué? El Dr. Uno vio la fig. 2.Además, sí.", ["¿Por qué?", "El Dr. Uno vio la fig. 2.", "Además, sí."]),
