@@ -130,3 +130,34 @@ def first_sentences(text: Column, most: int = 25) -> Column:
     """Sentences by terminal punctuation after white space is collapsed, the first ``most`` of them."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.slice(F.filter(F.split(flat, r"(?<=[.!?]) "), lambda s: s != ""), 1, most)
+
+
+def with_singulars(keywords: Column) -> Column:
+    """Keywords without repeats in any case, first wins; a plural acronym brings its singular along."""
+    both = F.flatten(F.transform(keywords, lambda k: F.when(k.rlike(r"^[A-Z0-9-]{2,}s$"), F.array(k, F.expr("null").cast("string"), F.regexp_replace(k, "s$", ""))).otherwise(F.array(k))))
+    kept = F.filter(both, lambda k: k.isNotNull())
+    lower = F.transform(kept, lambda k: F.lower(k))
+    return F.filter(kept, lambda k, i: F.array_position(lower, F.lower(k)) == i + 1)
+
+
+def repository_urls(text: Column) -> Column:
+    """Addresses of code repositories in a text, without trailing marks, each once."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)https?://(?:www\.)?(?:github|gitlab)\.com/[\w.-]+/[\w.-]+"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(F.lower(u), r"(\.git|[.,;]+)$", "")))
+
+
+def section_class(heading: Column) -> Column:
+    """The kind of a section by the words of its heading, tested in order."""
+    low = F.lower(F.coalesce(heading, F.lit("")))
+    out = F.when(low.rlike("abstract"), "abstract").when(low.rlike("introduc"), "introduction").when(low.rlike("related|background|prior"), "related")
+    out = out.when(low.rlike("method|approach|model"), "method").when(low.rlike("experiment|evaluation|setup"), "experiment").when(low.rlike("result"), "result")
+    return out.when(low.rlike("discuss|limitation|conclu|outlook"), "conclusion").otherwise("other")
+
+
+def lexical_weights(query: str) -> tuple[float, float]:
+    """(dense, lexical) weights of a query's legs: short, quoted and acronym queries lean on words, long ones on meaning."""
+    words_ = query.split()
+    short = [w for w in words_ if len(w) > 1 and w.strip('"').isupper()]
+    if query.strip().startswith('"') or len(words_) <= 3 or len(short) >= max(1, len(words_) // 2):
+        return 0.7, 1.3
+    return (1.4, 0.6) if len(words_) >= 12 else (1.0, 1.0)

@@ -99,3 +99,16 @@ def similar_sets(left: DataFrame, ident: str, tokens: str, threshold: float) ->
     both = pairs.join(text.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+
+
+def sequential_dedup(frame: DataFrame, keys: list[tuple[str, Column]], order: str) -> DataFrame:
+    """Rows kept in order of arrival: a row goes if any of its keys was held by a row that arrived before it.
+
+    A key is held by its first bearer, kept or not, which makes the test one join per
+    key instead of an ordered pass over all rows; where only kept rows held keys, chains
+    of partial matches would keep more. Null and blank keys are held by nobody.
+    """
+    pack = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), k.cast("string").alias("k")) for n, k in keys]), lambda x: has_value(x["k"]))
+    held = frame.select(order, F.explode(pack).alias("x")).select(order, "x.n", "x.k")
+    late = held.join(held.groupBy("n", "k").agg(F.min(order).alias("first")), ["n", "k"]).where(F.col(order) > F.col("first"))
+    return frame.join(late.select(order).distinct(), order, "left_anti")

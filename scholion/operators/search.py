@@ -52,16 +52,19 @@ def unit(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     return vectors.select(ident, F.col(vector).alias("v"), norm.alias("norm")).where("norm > 0").select(ident, F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias(vector))
 
 
-def cosine_blocks(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, ident: str = "vec_id", vector: str = "embedding", block: int = 1000, same: bool = False) -> DataFrame:
-    """(qid, ident, score): the k nearest vectors to each of a stated set of queries, by cosine.
+def cosine_blocks(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", block: int = 1000, same: bool = False) -> DataFrame:
+    """(qid, ident, score, rank): the k nearest vectors to each row (qid, vector) of a stated query set, by cosine.
 
-    Queries are taken in blocks of bounded size; each task multiplies its vectors with a
-    block and keeps its k best, so a task's rows, not all pairs, reach the shuffle.
+    Queries are fetched in blocks of bounded size; each task multiplies its vectors with
+    a block and keeps its k best, so a task's rows, not all pairs, reach the shuffle.
+    Null and zero vectors are near nothing; ``same`` leaves a query's own id out.
     """
     spark = vectors.sparkSession
+    asked = queries.select("qid", vector).where(F.col(vector).isNotNull())
+    blocks = max(1, -(-asked.count() // block))
     parts = []
-    for at in range(0, max(1, len(queries)), block):
-        some = queries[at : at + block]
+    for number in range(blocks):
+        some = [(r["qid"], list(r[vector])) for r in asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).collect()]
         keys = np.array([q for q, _ in some], dtype=np.int64)
         matrix = np.array([v for _, v in some], dtype=np.float64).reshape(len(some), -1)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(some) else np.ones((0, 1))

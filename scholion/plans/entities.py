@@ -262,3 +262,72 @@ def sequence_title_match(spark, sf):
     side = lambda t, c: table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias(f"t_{c}")).withColumn("block", F.left(f"t_{c}", F.lit(12))).where("block <> ''")
     pairs = side("feed_openreview", "a").join(side("feed_dblp", "b"), "block").where("least(length(t_a), length(t_b)) >= 0.7 * greatest(length(t_a), length(t_b))")
     return pairs.withColumn("ratio", F.round(ratio("t_a", "t_b"), 4)).where("ratio >= 0.9").select("a", "b", "ratio")
+
+
+@query("""SELECT raw_id, len(list_distinct(list_transform(keywords, lambda k: lower(k))))::INT AS n FROM raw_papers WHERE len(keywords) > 0 AND len(list_filter(keywords, lambda k: k IS NULL OR regexp_matches(k, '^[A-Z0-9-]{2,}s$'))) = 0""")
+def keyword_dedup(spark, sf):
+    papers = table(spark, sf, "raw_papers").where("size(keywords) > 0 and not exists(keywords, k -> k is null or k rlike '^[A-Z0-9-]{2,}s$')")
+    return papers.select("raw_id", F.size(T.with_singulars(F.col("keywords"))).alias("n"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(h, 'abstract') THEN 'abstract' WHEN regexp_matches(h, 'introduc') THEN 'introduction' WHEN regexp_matches(h, 'related|background|prior') THEN 'related' WHEN regexp_matches(h, 'method|approach|model') THEN 'method'
+ WHEN regexp_matches(h, 'experiment|evaluation|setup') THEN 'experiment' WHEN regexp_matches(h, 'result') THEN 'result' WHEN regexp_matches(h, 'discuss|limitation|conclu|outlook') THEN 'conclusion' ELSE 'other' END AS kind FROM (SELECT doc_id, lower(coalesce(string_split(text, chr(10))[1], '')) AS h FROM documents)""")
+def section_classification(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.section_class(F.substring_index("text", "\n", 1)).alias("kind"))
+
+
+@query("""SELECT doc_id, 'https://github.com/' || lower(source) || '/r' || doc_id AS url FROM documents WHERE source IS NOT NULL AND regexp_full_match(source, '[A-Za-z0-9_.-]*[A-Za-z0-9_-]')""")
+def repository_links(spark, sf):
+    docs = table(spark, sf, "documents").where(F.col("source").rlike("^[A-Za-z0-9_.-]*[A-Za-z0-9_-]$"))
+    text = F.concat(F.lit("Code: https://GitHub.com/"), "source", F.lit("/r"), F.col("doc_id").cast("string"), F.lit(". See also https://github.com/"), "source", F.lit("/r"), F.col("doc_id").cast("string"), F.lit(".git"))
+    return docs.select("doc_id", F.explode(T.repository_urls(text)).alias("url"))
+
+
+@query(f"""WITH s AS (SELECT point_id, lower(trim(unnest([payload.identifier, payload.doi, payload.openalex_id]))) AS k FROM (SELECT point_id, {{'identifier': payload.identifier, 'doi': payload.doi, 'openalex_id': NULL}} AS payload FROM seed_stubs UNION ALL SELECT point_id, {{'identifier': NULL, 'doi': payload.doi, 'openalex_id': payload.openalex_id}} FROM seed_papers))
+SELECT k, min(point_id) AS point_id, count(DISTINCT point_id) AS holders FROM s WHERE coalesce(k, '') <> '' GROUP BY k""")
+def identifier_index(spark, sf):
+    stubs = table(spark, sf, "seed_stubs").select("point_id", F.explode(F.array("payload.identifier", "payload.doi")).alias("k"))
+    seeds = table(spark, sf, "seed_papers").select("point_id", F.explode(F.array("payload.doi", "payload.openalex_id")).alias("k"))
+    keyed = stubs.unionByName(seeds).select("point_id", F.lower(F.trim("k")).alias("k")).where("k <> ''")
+    return keyed.groupBy("k").agg(F.min("point_id").alias("point_id"), F.countDistinct("point_id").alias("holders"))
+
+
+@query(f"""WITH a AS (SELECT rec_id AS a, {_TITLE.format('title')} AS ta FROM feed_openreview), b AS (SELECT rec_id AS b, {_TITLE.format('title')} AS tb FROM feed_dblp)
+SELECT a, b FROM a JOIN b ON string_split(ta, ' ')[1:4] = string_split(tb, ' ')[1:4] WHERE ta = tb OR (length(tb) > 20 AND contains(ta, tb)) OR (length(tb) > 20 AND contains(tb, ta))""")
+def containment_title_match(spark, sf):
+    side = lambda t, c: table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias(f"t{c}")).withColumn("head", F.slice(F.split(f"t{c}", " "), 1, 4))
+    pairs = side("feed_openreview", "a").join(side("feed_dblp", "b"), "head")
+    return pairs.where("ta = tb or (length(tb) > 20 and (contains(ta, tb) or contains(tb, ta)))").select("a", "b")
+
+
+@query(f"""WITH w AS (SELECT raw_id, {_DOI.format('doi')} AS d, nullif(trim(arxiv_id), '') AS x FROM raw_papers), c AS (SELECT DISTINCT {_DOI.format('doi')} AS d FROM paper_responses WHERE doi IS NOT NULL)
+SELECT raw_id, CASE WHEN d IN (SELECT d FROM c WHERE d IS NOT NULL) THEN 'core' ELSE 'external' END AS label FROM w""")
+def core_or_external(spark, sf):
+    core = table(spark, sf, "paper_responses").select(T.plain_doi(F.col("doi")).alias("d")).where("d is not null").distinct().withColumn("core", F.lit("core"))
+    return table(spark, sf, "raw_papers").select("raw_id", T.plain_doi(F.col("doi")).alias("d")).join(core, "d", "left").select("raw_id", F.coalesce("core", F.lit("external")).alias("label"))
+
+
+@query("""SELECT count(*) AS papers, count(*) FILTER (len(resolved_references) > 0) AS with_references, sum(coalesce(len(resolved_references), 0))::BIGINT AS listed, sum(coalesce(reference_count, 0))::BIGINT AS counted, round(100.0 * sum(coalesce(len(resolved_references), 0)) / sum(coalesce(reference_count, 0)), 1)::DOUBLE AS coverage_pct FROM paper_responses""")
+def citation_graph_stats(spark, sf):
+    n = F.when(F.col("resolved_references").isNotNull(), F.size("resolved_references")).otherwise(0).cast("bigint")
+    stats = table(spark, sf, "paper_responses").agg(F.count(F.lit(1)).alias("papers"), F.count_if(n > 0).alias("with_references"), F.sum(n).alias("listed"), F.sum(F.coalesce("reference_count", F.lit(0)).cast("bigint")).alias("counted"))
+    return stats.withColumn("coverage_pct", F.round(F.lit(100.0) * F.col("listed") / F.col("counted"), 1))
+
+
+@query("""SELECT 'doi' AS kind, count(DISTINCT lower(trim(doi))) AS n FROM raw_papers WHERE coalesce(trim(doi), '') <> '' UNION ALL SELECT 'openalex_id', count(DISTINCT openalex_id) FROM raw_papers WHERE openalex_id <> '' UNION ALL SELECT 'acl_id', count(DISTINCT acl_id) FROM raw_papers WHERE acl_id <> ''""")
+def identifier_sets(spark, sf):
+    papers = table(spark, sf, "raw_papers").select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.lower(F.trim(k)) if k == "doi" else F.col(k)).alias("v")) for k in ("doi", "openalex_id", "acl_id")])).alias("x")).select("x.*")
+    return papers.where("v is not null and v <> ''").groupBy("kind").agg(F.countDistinct("v").alias("n"))
+
+
+@query("""WITH r AS (SELECT group_id, member_table, member_key FROM dup_members), f AS (SELECT group_id, member_table, min(member_key) AS first_key, count(DISTINCT member_key) AS members FROM r GROUP BY ALL) SELECT group_id, member_table, first_key, members FROM f WHERE members > 1""")
+def group_heads(spark, sf):
+    return table(spark, sf, "dup_members").groupBy("group_id", "member_table").agg(F.min("member_key").alias("first_key"), F.countDistinct("member_key").alias("members")).where("members > 1")
+
+
+@query(f"""WITH k AS (SELECT raw_id, unnest(['d|' || {_DOI.format('doi')}, 'w|' || nullif(trim(openalex_id), ''), 'a|' || nullif(trim(acl_id), '')]) AS k FROM raw_papers), f AS (SELECT k, min(raw_id) AS first FROM k WHERE k IS NOT NULL GROUP BY k)
+SELECT raw_id, title FROM raw_papers WHERE raw_id NOT IN (SELECT k.raw_id FROM k JOIN f USING (k) WHERE k.raw_id > f.first)""")
+def dedup_sequential(spark, sf):
+    papers = table(spark, sf, "raw_papers").select("raw_id", "title", "doi", "openalex_id", "acl_id")
+    keys = [("d", T.plain_doi(F.col("doi"))), ("w", F.nullif(F.trim("openalex_id"), F.lit(""))), ("a", F.nullif(F.trim("acl_id"), F.lit("")))]
+    return R.sequential_dedup(papers, keys, "raw_id").select("raw_id", "title")

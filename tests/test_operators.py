@@ -118,7 +118,7 @@ def test_search_operators(spark):
     found = S.top(S.bm25(docs, asked), ["qid"], "score", "doc_id", 5)
     assert [r.doc_id for r in found.orderBy("rank").collect()] == [2, 1]
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0])], "vec_id long, embedding array<float>")
-    near = S.cosine_blocks(vectors, [(1, [1.0, 0.0])], 2, same=True)
+    near = S.cosine_blocks(vectors, vectors.where("vec_id = 1").withColumnRenamed("vec_id", "qid"), 2, same=True)
     assert [r.vec_id for r in near.orderBy("rank").collect()] == [2, 3]
     pool = spark.createDataFrame([(1, 1, 1.0, ["a"]), (1, 2, 0.9, ["a"]), (1, 3, 0.8, ["b"]), (1, 4, None, None)], "qid int, id int, score double, kw array<string>")
     picked = S.diversified(pool, "qid", "id", "score", "kw", limit=2, weight=0.5)
