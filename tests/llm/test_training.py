@@ -331,3 +331,13 @@ def test_every_training_query_runs(spark, sf_dir):
 
     for name, query in QUERIES.items():
         assert query(spark, sf_dir).columns, name
+
+
+def test_queries_agree_with_their_sql(spark, sf_dir):
+    import oracle
+
+    from scholion.llm.queries import QUERIES, SQL
+
+    con = oracle.connection(sf_dir)
+    for name, sql in SQL.items():
+        assert oracle.compare(con, QUERIES[name](spark, sf_dir), sql) is None, name
