@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,32 @@ def session(app: str = "scholion", cpus: str | int = "8", **conf: str) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per context, by a zip in the shared folder.
+
+    Where the folder is no file system the driver can write to, the package has to be
+    installed on the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_scholion_shipped", False):
+        return
+    context._scholion_shipped = True
+    at = shared_dir(spark)
+    if "://" in at and not at.startswith("file://"):
+        return
+    folder = Path(at.removeprefix("file://").removeprefix("file:"))
+    folder.mkdir(parents=True, exist_ok=True)
+    package = Path(__file__).resolve().parent
+    path = folder / f"scholion-{uuid.uuid4().hex[:12]}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
