@@ -13,7 +13,7 @@ from scholion.llm.titles import FOLD
 TITLES = {"prof", "dr", "mr", "mrs", "ms", "sir", "dame", "professor", "doctor", "phd", "ph.d"}
 ADDITIONS = {"jr", "sr", "ii", "iii", "iv", "phd", "md", "esq"}
 # Particles that belong to the surname.
-PARTICLES = {"van", "von", "de", "la", "der", "den", "del", "di", "da", "el", "al", "bin", "ben", "du", "le", "dos", "das", "ter", "ten", "zu", "af", "av"}
+PARTICLES = {"van", "von", "de", "la", "der", "den", "del", "di", "da", "el", "bin", "du", "le", "dos", "das", "ter", "ten", "zu", "af", "av"}
 # Short and pet forms with the names they stand for.
 NICKNAMES = {
     "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert", "bill": "william", "will": "william", "billy": "william", "liam": "william", "willy": "william",
@@ -154,9 +154,26 @@ def forms(name: str | None) -> tuple[str | None, list[str], bool, list[str]]:
     return "|".join(sorted((given, surname))), sorted(keys), False, middle
 
 
+def shortened(name: str | None) -> list[str]:
+    """Full keys of the ways a name is cut or taken apart: particles or the second half of a double
+    surname left out, a double surname without its hyphen (its first half then looks like a middle name)."""
+    parsed = parse(name)
+    if parsed is None or not parsed.given or len(parsed.given[0]) == 1:
+        return []
+    given, surname = canonical(parsed.given[0]), parsed.surname
+    bare = [t for t in surname if t not in PARTICLES]
+    forms_ = {plain("".join(bare))} if bare else set()
+    halves = [h for t in look(name).replace(",", " ").split() if "-" in t and fold(t) in surname for h in [fold(t.split("-")[0])]]
+    forms_ |= {plain(h) for h in halves if len(h) > 3}
+    if len(parsed.given) > 1 and len(parsed.given[-1]) > 3 and len(surname) == 1:
+        forms_.add(plain(parsed.given[-1] + surname[0]))
+    forms_.discard(plain("".join(surname)))
+    return sorted("|".join(sorted((given, f))) for f in forms_ if f)
+
+
 def dropped(word: str) -> set[str]:
-    """A word and all its forms with one letter left out (short words keep theirs)."""
-    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 3 else set())
+    """A word and all its forms with one letter left out (the shortest words keep theirs)."""
+    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 2 else set())
 
 
 def affiliation_stem(affiliation: str | None) -> str | None:

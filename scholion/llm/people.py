@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm.components import connected_components
-from scholion.llm.names import affiliation_stem, dropped, forms, look
+from scholion.llm.names import affiliation_stem, dropped, forms, look, shortened
 from scholion.llm.titles import slips
 from scholion.runtime import materialize
 
@@ -23,18 +23,18 @@ SLIPS = 2
 
 
 def _spelled(names: DataFrame) -> DataFrame:
-    """(name, spelling, full, initial_keys, short, middle): the canonical forms of distinct names."""
+    """(name, look, spelling, full, initial_keys, short, cut): the canonical forms of distinct names."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             found = [forms(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([look(x) for x in texts]), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found])],
-                names=["name", "look", "full", "initial_keys", "short"],
+                [batch.column(0), pa.array([look(x) for x in texts]), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found]), pa.array([shortened(x) for x in texts], pa.list_(pa.string()))],
+                names=["name", "look", "full", "initial_keys", "short", "cut"],
             )
 
-    schema = "name string, look string, full string, initial_keys array<string>, short boolean"
+    schema = "name string, look string, full string, initial_keys array<string>, short boolean, cut array<string>"
     return names.mapInArrow(rewrite, schema).withColumn("spelling", F.xxhash64("look"))
 
 
@@ -57,7 +57,7 @@ def _slipped(keys: DataFrame) -> DataFrame:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 p, q = set(a.split("|")), set(b.split("|"))
                 only = (list(p - q), list(q - p))
-                keep.append(len(only[0]) == len(only[1]) == 1 and slips(only[0][0], only[1][0], SLIPS) <= SLIPS)
+                keep.append(len(only[0]) == len(only[1]) == 1 and slips(only[0][0], only[1][0], SLIPS) <= (SLIPS if min(len(only[0][0]), len(only[1][0])) > 3 else 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     variants = keys.mapInArrow(drop, "key string, variant string").select("key", F.xxhash64("variant").alias("v"))
@@ -82,16 +82,17 @@ def people(mentions: DataFrame, others: DataFrame) -> DataFrame:
     told = named(mentions).select("name", "affiliation", "orcid", "openalex_id").distinct().mapInArrow(stems, "name string, stem string, orcid string, openalex_id string")
     told = materialize(told.join(names.select("name", "spelling"), "name").drop("name").distinct(), "told")
 
-    spellings = names.select("spelling", "full", "short", "initial_keys").dropDuplicates(["spelling"])
+    spellings = names.select("spelling", "full", "short", "initial_keys", "cut").dropDuplicates(["spelling"])
     firsts = spellings.where("full is not null").groupBy("full").agg(F.min("spelling").alias("first"))
     by_full = spellings.join(firsts, "full").select(F.col("spelling").alias("src"), F.col("first").alias("dst"))
     firsts = materialize(firsts, "firsts")
     slipped = materialize(_slipped(firsts.select("full")), "slipped")
     by_slip = slipped.join(firsts.select(F.col("full").alias("a"), F.col("first").alias("src")), "a").join(firsts.select(F.col("full").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
+    by_cut = spellings.select("spelling", F.explode("cut").alias("full")).join(firsts, "full").select(F.col("spelling").alias("src"), F.col("first").alias("dst"))
     marks = told.select("spelling", F.explode(F.array(F.concat(F.lit("o"), F.trim("orcid")), F.concat(F.lit("a"), F.trim("openalex_id")))).alias("mark")).where("mark is not null and length(mark) > 1").distinct()
     mark_firsts = marks.groupBy("mark").agg(F.min("spelling").alias("dst"))
     by_mark = marks.join(mark_firsts, "mark").select(F.col("spelling").alias("src"), "dst")
-    groups = connected_components(by_full.unionByName(by_slip).unionByName(by_mark).where("src <> dst"))
+    groups = connected_components(by_full.unionByName(by_slip).unionByName(by_cut).unionByName(by_mark).where("src <> dst"))
     settled = materialize(
         spellings.select("spelling", "short", "initial_keys").join(groups.select(F.col("node").alias("spelling"), "component"), "spelling", "left"), "settled"
     )

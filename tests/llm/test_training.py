@@ -154,6 +154,8 @@ def test_name_forms():
     assert full("Beatriz Depajalind") == full("Depajalind Beatriz") == full("DEPAJALIND, Beatríz")
     assert full("Søren Kövari") == full("Soeren Koevari")
     assert names.forms("D. Gafotiseck")[1:3] == (["d|gafotiseck"], True) and names.forms("Gafotiseck DM")[2]
+    assert full("Pilar Nutihogex") in names.shortened("Nutihogex-Nugitenix, Pilar") and full("Robert Ziloju-Zizove") in names.shortened("Robert Ziloju Zizove")
+    assert full("Jarek Gekiso") in names.shortened("Jarek van Gekiso") and full("Ben Foninigind") == full("Foninigind, Benjamin") and names.shortened(None) == []
     assert names.forms(None) == names.forms("") == (None, [], False, [])
     assert names.affiliation_stem("Univ. of Dulim") == names.affiliation_stem("Dulim Research Labs") == "dulim" and names.affiliation_stem(None) is None
 
