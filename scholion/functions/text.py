@@ -126,10 +126,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
-def first_sentences(text: Column, most: int = 25) -> Column:
-    """Sentences by terminal punctuation after white space is collapsed, the first ``most`` of them."""
+def sentences(text: Column) -> Column:
+    """Sentences by terminal punctuation after white space is collapsed."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.slice(F.filter(F.split(flat, r"(?<=[.!?]) "), lambda s: s != ""), 1, most)
+    return F.filter(F.split(flat, r"(?<=[.!?]) "), lambda s: s != "")
 
 
 def with_singulars(keywords: Column) -> Column:

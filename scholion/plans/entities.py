@@ -110,7 +110,7 @@ def json_properties(spark, sf):
 @query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1:25] AS s FROM documents WHERE coalesce(trim(text), '') <> '')
 SELECT doc_id, p, CASE WHEN ends_with(x, '?') THEN 'question' WHEN regexp_matches(x, '[0-9]') THEN 'result' ELSE 'background' END AS label FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1)::INT AS p FROM s)""")
 def sentence_roles(spark, sf):
-    docs = table(spark, sf, "documents").where(T.has_value(F.col("text"))).select("doc_id", F.posexplode(T.first_sentences(F.col("text"))).alias("p", "x"))
+    docs = table(spark, sf, "documents").where(T.has_value(F.col("text"))).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "x"))
     label = F.when(F.col("x").endswith("?"), "question").when(F.col("x").rlike("[0-9]"), "result").otherwise("background")
     return docs.select("doc_id", (F.col("p") + 1).alias("p"), label.alias("label"))
 
