@@ -266,8 +266,13 @@ def sequence_title_match(spark, sf):
 
 @query("""SELECT raw_id, len(list_distinct(list_transform(keywords, lambda k: lower(k))))::INT AS n FROM raw_papers WHERE len(keywords) > 0 AND len(list_filter(keywords, lambda k: k IS NULL OR regexp_matches(k, '^[A-Z0-9-]{2,}s$'))) = 0""")
 def keyword_dedup(spark, sf):
-    papers = table(spark, sf, "raw_papers").where("size(keywords) > 0 and not exists(keywords, k -> k is null or k rlike '^[A-Z0-9-]{2,}s$')")
-    return papers.select("raw_id", F.size(T.with_singulars(F.col("keywords"))).alias("n"))
+    return keyword_lists(spark, sf).select("raw_id", F.size("keywords").alias("n"))
+
+
+@query()
+def keyword_lists(spark, sf):
+    """The keywords that ``keyword_dedup`` counts."""
+    return table(spark, sf, "raw_papers").where("size(keywords) > 0").select("raw_id", T.with_singulars(F.col("keywords")).alias("keywords"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(h, 'abstract') THEN 'abstract' WHEN regexp_matches(h, 'introduc') THEN 'introduction' WHEN regexp_matches(h, 'related|background|prior') THEN 'related' WHEN regexp_matches(h, 'method|approach|model') THEN 'method'

@@ -70,8 +70,8 @@ def stream_upsert(spark, sf):
 
 @query("""SELECT raw_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title FROM raw_papers WHERE title NOT LIKE '%<%' AND title NOT LIKE '%&%' AND title NOT LIKE '%{%' AND regexp_full_match(title, '[ -~]*')""")
 def xml_titles(spark, sf):
-    papers = table(spark, sf, "raw_papers").where(r"title not like '%<%' and title not like '%&%' and title not like '%{%'").where(F.col("title").rlike("^[ -~]*$"))
-    xml = F.concat(F.lit("<paper><title>"), F.regexp_replace("title", "^(\\S+)", "<i>$1</i>"), F.lit("</title></paper>"))
+    papers = table(spark, sf, "raw_papers")
+    xml = F.concat(F.lit("<paper><title>"), F.regexp_replace(records.escaped(F.col("title")), "^(\\S+)", "<i>$1</i>"), F.lit("</title></paper>"))
     return papers.select("raw_id", records.xml_title(xml).alias("title"))
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 WORK = """id STRING, doi STRING, title STRING, display_name STRING, publication_year INT, publication_date STRING, language STRING, type STRING,
 authorships ARRAY<STRUCT<author: STRUCT<id: STRING, display_name: STRING, orcid: STRING>>>, referenced_works ARRAY<STRING>, abstract_inverted_index MAP<STRING, ARRAY<INT>>,
@@ -50,10 +54,23 @@ def month_number(month: Column) -> Column:
     return F.coalesce(F.nullif(place, F.lit(0)).cast("int"), F.when(number.between(1, 12), number))
 
 
+@F.pandas_udf(StringType())
+def resolved(texts: pd.Series) -> pd.Series:
+    """Text with its character references and named entities (XML's and the Latin ones of DBLP's DTD) resolved, each once."""
+    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
 def xml_title(xml: Column) -> Column:
-    """The text of an XML title element with its inner markup removed."""
-    inner = F.regexp_extract(xml, r"(?s)<title[^>]*>(.*?)</title>", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(inner, r"<[^>]+>", ""), r"\s+", " "))
+    """The text of an XML title element with its inner markup removed and its entities resolved."""
+    inner = F.regexp_extract(xml, r"(?s)<title(?:\s[^>]*)?>(.*?)</title>", 1)
+    return F.trim(F.regexp_replace(resolved(F.regexp_replace(inner, r"<[^>]+>", "")), r"\s+", " "))
+
+
+def escaped(text: Column) -> Column:
+    """Text as it stands in XML content."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
 
 
 def dblp_hits(raw: DataFrame, column: str) -> DataFrame:

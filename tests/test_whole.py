@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from scholion.plans import entities
+import re
+
+from pyspark.sql import functions as F
+
+from scholion.plans import entities, streams
+from scholion.sources import records
 
 
 def written(spark, folder, name, data, schema):
@@ -16,3 +21,29 @@ def test_every_sentence_gets_a_role(spark, tmp_path):
     got = {(r.doc_id, r.p): r.label for r in entities.sentence_roles(spark, at).collect()}
     assert sorted(got) == [(1, p) for p in range(1, 57)] + [(2, 1)]
     assert got[1, 25] == "question" and got[1, 26] == "result" and got[1, 56] == "background"
+
+
+def test_titles_of_all_writings_pass_through_xml(spark, tmp_path):
+    titles = ["Plain", "Q&A: a < b > c", "R&amp;D in &lt;i&gt;", "{B}ERT & <b>bold</b>", "Ünïcode 学习  of\tспам", "<i>x</i> y", "", None, "a &#233; b", "&"]
+    at = written(spark, tmp_path, "raw_papers", list(enumerate(titles)), "raw_id long, title string")
+    want = {i: t if t is None else re.sub(r"\s+", " ", t).strip() for i, t in enumerate(titles)}
+    assert {r.raw_id: r.title for r in streams.xml_titles(spark, at).collect()} == want
+    xml = spark.createDataFrame([("<paper><title>Caf&eacute; &#233;&#x5B66; &amp;lt; <i>x</i><sub>2</sub></title></paper>",), ("<titles>no</titles>",)], "x string")
+    assert [r[0] for r in xml.select(records.xml_title(F.col("x"))).collect()] == ["Café é学 &lt; x2", ""]
+
+
+def keywords_by_hand(words):
+    out = []
+    for word in words:
+        for w in [word, word[:-1]] if word and re.fullmatch(r"[A-Z0-9-]{2,}s", word) else [word]:
+            if w is not None and w.lower() not in [o.lower() for o in out]:
+                out.append(w)
+    return out
+
+
+def test_keywords_with_nulls_and_plural_acronyms(spark, tmp_path):
+    lists = [["LLMs", "llm", "parsing"], ["GNN", "GNNs", None], [None], ["a", "A", "b"], [], None, ["T5s", "t5S", "Xs"]]
+    at = written(spark, tmp_path, "raw_papers", list(enumerate(lists)), "raw_id long, keywords array<string>")
+    want = {i: keywords_by_hand(x) for i, x in enumerate(lists) if x}
+    assert {r.raw_id: r.keywords for r in entities.keyword_lists(spark, at).collect()} == want
+    assert {r.raw_id: r.n for r in entities.keyword_dedup(spark, at).collect()} == {i: len(x) for i, x in want.items()}
