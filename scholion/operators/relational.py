@@ -82,8 +82,8 @@ def similar_sets(left: DataFrame, ident: str, tokens: str, threshold: float) ->
     """(a, b, similarity): pairs of rows whose token sets have a Jaccard similarity of at least ``threshold``.
 
     Exact set-similarity join over distinct sets: rows with the same set stand behind
-    their least id, tokens are ordered by rarity, and only the prefix that two similar
-    sets must share is joined.
+    their least id (``set_members`` has who stands behind whom), tokens are ordered by
+    rarity, and only the prefix that two similar sets must share is joined.
     """
     sets = left.select(ident, F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
     reps = sets.groupBy("t").agg(F.min(ident).alias("id")).select("id", "t")
@@ -101,6 +101,12 @@ def similar_sets(left: DataFrame, ident: str, tokens: str, threshold: float) ->
     return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
+def set_members(left: DataFrame, ident: str, tokens: str) -> DataFrame:
+    """(ident, representative): for every row with tokens the least id of the rows with the same token set."""
+    sets = left.select(ident, F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0).distinct()
+    return sets.join(sets.groupBy("t").agg(F.min(ident).alias("representative")), "t").select(ident, "representative")
+
+
 def sequential_dedup(frame: DataFrame, keys: list[tuple[str, Column]], order: str) -> DataFrame:
     """Rows kept in order of arrival: a row goes if any of its keys was held by a row that arrived before it.
 

@@ -191,9 +191,18 @@ _TOKENS = "SELECT rec_id AS id, list_sort(list_distinct(string_split(t, ' '))) A
 @query(f"""WITH s AS ({_TOKENS}), d AS (SELECT t, min(id) AS id FROM s GROUP BY t)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6)::DOUBLE AS similarity FROM d a JOIN d b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.9""")
 def fuzzy_title_jaccard(spark, sf):
+    """Pairs of representatives; ``title_set_members`` has the rows that each stands for."""
+    return R.similar_sets(_title_words(spark, sf), "rec_id", "t", 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT DISTINCT id AS rec_id, min(id) OVER (PARTITION BY t) AS representative FROM ({_TOKENS})")
+def title_set_members(spark, sf):
+    return R.set_members(_title_words(spark, sf), "rec_id", "t")
+
+
+def _title_words(spark, sf):
     feeds = table(spark, sf, "feed_openreview").select("rec_id", "title").unionByName(table(spark, sf, "feed_dblp").select("rec_id", "title"))
-    titles = feeds.select("rec_id", F.split(T.normalize_title(F.col("title")), " ").alias("t")).where(F.element_at("t", 1) != "")
-    return R.similar_sets(titles, "rec_id", "t", 0.9).withColumn("similarity", F.round("similarity", 6))
+    return feeds.select("rec_id", F.split(T.normalize_title(F.col("title")), " ").alias("t")).where(F.element_at("t", 1) != "")
 
 
 @query(f"""WITH e AS (SELECT DISTINCT id AS src, {_record('ref')} AS dst FROM (SELECT id, unnest(resolved_references) AS ref FROM paper_responses))

@@ -47,3 +47,22 @@ def test_keywords_with_nulls_and_plural_acronyms(spark, tmp_path):
     want = {i: keywords_by_hand(x) for i, x in enumerate(lists) if x}
     assert {r.raw_id: r.keywords for r in entities.keyword_lists(spark, at).collect()} == want
     assert {r.raw_id: r.n for r in entities.keyword_dedup(spark, at).collect()} == {i: len(x) for i, x in want.items()}
+
+
+def feeds(spark, folder, left, right):
+    written(spark, folder, "feed_openreview", left, "rec_id long, title string")
+    return written(spark, folder, "feed_dblp", right, "rec_id long, title string")
+
+
+def test_every_pair_of_like_titles_follows_from_pairs_and_members(spark, tmp_path):
+    words = "a b c d e f g h i j k".split()
+    left = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[:10])), (4, "x y"), (5, None)]
+    right = [(11, " ".join(words).upper()), (12, " ".join(words[:10] + ["z"])), (13, "X, y"), (14, " ".join(words[:10])), (15, ""), (16, "x")]
+    at = feeds(spark, tmp_path, left, right)
+    near = {(r.a, r.b) for r in entities.fuzzy_title_jaccard(spark, at).collect()}
+    head = {r.rec_id: r.representative for r in entities.title_set_members(spark, at).collect()}
+    sets = {i: frozenset(re.sub(r"[^a-z ]", "", t.lower()).split()) for i, t in left + right if t}
+    assert sorted(head) == sorted(sets)
+    want = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.9 * len(sets[x] | sets[y])}
+    got = {(x, y) for x in head for y in head if x < y and (head[x] == head[y] or tuple(sorted((head[x], head[y]))) in near)}
+    assert got == want and (1, 11) in want and (3, 11) in want
