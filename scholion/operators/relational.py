@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from scholion.functions.text import has_value
 
@@ -107,6 +110,45 @@ def set_members(left: DataFrame, ident: str, tokens: str) -> DataFrame:
     return sets.join(sets.groupBy("t").agg(F.min(ident).alias("representative")), "t").select(ident, "representative")
 
 
+#: Letters of a run that is looked up, and neighbouring runs of which the least by hash stands for all.
+RUN, NEIGHBOURS = 12, 8
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def least_runs(texts: pd.Series) -> pd.Series:
+    """Of each NEIGHBOURS neighbouring runs of RUN letters the least by hash; what a text holds has no others than the text."""
+
+    def one(text: str) -> list[int]:
+        runs = [xxhash.xxh3_64_intdigest(text[i : i + RUN]) - (1 << 63) for i in range(len(text) - RUN + 1)]
+        return sorted({min(runs[i : i + NEIGHBOURS]) for i in range(len(runs) - NEIGHBOURS + 1)})
+
+    return texts.map(one)
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l): ids of the texts of ``short`` that stand anywhere in a longer text of ``long``; both are (id, t) of distinct texts.
+
+    A text with enough letters is looked up by the rarest of its least runs, all of
+    which the longer text must have; a shorter one among all substrings of its length.
+    Empty texts stand in nothing.
+    """
+    enough = RUN + NEIGHBOURS - 1
+    whole = F.length("t") >= enough
+    index = long.where(whole).select(F.col("id").alias("l"), F.explode(least_runs("t")).alias("run"))
+    probes = short.where(whole).select(F.col("id").alias("s"), F.explode(least_runs("t")).alias("run"))
+    counted = probes.join(index.groupBy("run").agg(F.count(F.lit(1)).alias("df")), "run", "left")
+    rarest = counted.groupBy("s").agg(F.count_if(F.col("df").isNull()).alias("lost"), F.min_by("run", F.struct("df", "run")).alias("run")).where("lost = 0")
+    pairs = rarest.join(index, "run").select("s", "l")
+    sides = pairs.join(short.select(F.col("id").alias("s"), F.col("t").alias("ts")), "s").join(long.select(F.col("id").alias("l"), F.col("t").alias("tl")), "l")
+    found = sides.where((F.length("ts") < F.length("tl")) & F.contains("tl", "ts")).select("s", "l")
+    brief = short.where(~whole & (F.col("t") != ""))
+    lengths = sorted(r[0] for r in brief.select(F.length("t")).distinct().collect())
+    for n in lengths:
+        parts = long.where(F.length("t") > n).select(F.col("id").alias("l"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n))))).alias("t"))
+        found = found.unionByName(brief.where(F.length("t") == n).select(F.col("id").alias("s"), "t").join(parts, "t").select("s", "l"))
+    return found
+
+
 def sequential_dedup(frame: DataFrame, keys: list[tuple[str, Column]], order: str) -> DataFrame:
     """Rows kept in order of arrival: a row goes if any of its keys was held by a row that arrived before it.
 

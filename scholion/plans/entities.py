@@ -12,7 +12,7 @@ from scholion.functions import text as T
 from scholion.operators import relational as R
 from scholion.operators.orphans import record_key, work_key
 from scholion.plans.orphans import _record, _work
-from scholion.runtime import table
+from scholion.runtime import materialize, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -309,9 +309,16 @@ def identifier_index(spark, sf):
 @query(f"""WITH a AS (SELECT rec_id AS a, {_TITLE.format('title')} AS ta FROM feed_openreview), b AS (SELECT rec_id AS b, {_TITLE.format('title')} AS tb FROM feed_dblp)
 SELECT a, b FROM a JOIN b ON string_split(ta, ' ')[1:4] = string_split(tb, ' ')[1:4] WHERE ta = tb OR (length(tb) > 20 AND contains(ta, tb)) OR (length(tb) > 20 AND contains(tb, ta))""")
 def containment_title_match(spark, sf):
-    side = lambda t, c: table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias(f"t{c}")).withColumn("head", F.slice(F.split(f"t{c}", " "), 1, 4))
-    pairs = side("feed_openreview", "a").join(side("feed_dblp", "b"), "head")
-    return pairs.where("ta = tb or (length(tb) > 20 and (contains(ta, tb) or contains(tb, ta)))").select("a", "b")
+    """Titles of both feeds that are equal, or of which one stands anywhere in the other and that of dblp has over 20 letters."""
+    side = lambda t, c: table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias("t"))
+    a, b = materialize(side("feed_openreview", "a"), "titles"), materialize(side("feed_dblp", "b"), "titles")
+    # Each title is looked up once, under the least id that has it.
+    ua, ub = a.groupBy("t").agg(F.min("a").alias("id")), b.where("length(t) > 20").groupBy("t").agg(F.min("b").alias("id"))
+    inside = R.contained(ua, ub).select(F.col("s").alias("ha"), F.col("l").alias("hb"))
+    around = R.contained(ub, ua).select(F.col("l").alias("ha"), F.col("s").alias("hb"))
+    bearers = lambda u, rows, c: u.join(rows, "t").select(F.col("id").alias(f"h{c}"), c)
+    held = inside.unionByName(around).join(bearers(ua, a, "a"), "ha").join(bearers(ub, b, "b"), "hb").select("a", "b")
+    return a.join(b, "t").select("a", "b").unionByName(held)
 
 
 @query(f"""WITH w AS (SELECT raw_id, {_DOI.format('doi')} AS d, nullif(trim(arxiv_id), '') AS x FROM raw_papers), c AS (SELECT DISTINCT {_DOI.format('doi')} AS d FROM paper_responses WHERE doi IS NOT NULL)

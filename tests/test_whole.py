@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -66,3 +67,16 @@ def test_every_pair_of_like_titles_follows_from_pairs_and_members(spark, tmp_pat
     want = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.9 * len(sets[x] | sets[y])}
     got = {(x, y) for x in head for y in head if x < y and (head[x] == head[y] or tuple(sorted((head[x], head[y]))) in near)}
     assert got == want and (1, 11) in want and (3, 11) in want
+
+
+def test_contained_titles_against_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = ["parsing", "of", "the", "deep", "court", "records", "nets", "x", "satellite", "imagery", "a", "für"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 12))) for _ in range(40)]
+    parts = [t[i : i + rng.randint(1, 40)].strip() for t in texts for i in (0, rng.randint(0, 20))]
+    left, right = list(enumerate(texts + parts[::2] + ["", None])), [(1000 + i, t) for i, t in enumerate(parts[1::2] + texts[::3] + ["Subnets " + texts[0], None])]
+    fold = lambda t: " ".join((t or "").lower().replace("ü", "u").split())
+    want = {(a, b) for a, x in left for b, y in right for s, t in [(fold(x), fold(y))] if s == t or s and len(t) > 20 and (s in t or t in s)}
+    got = [(r.a, r.b) for r in entities.containment_title_match(spark, feeds(spark, tmp_path, left, right)).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(0 < len(fold(left[a][1])) < 19 and fold(right[b - 1000][1]).find(fold(left[a][1])) > 0 for a, b in want)
