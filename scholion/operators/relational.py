@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -149,6 +153,88 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     return found
 
 
+#: Buckets of letter runs, letters a length band spans, and texts of one side that are compared at a time.
+BUCKETS, BAND, CELL = 2048, 8, 2000
+
+
+def _run_buckets(texts: list[str], n: int) -> np.ndarray:
+    """For each text the buckets that its runs of n letters fall in, as 0 and 1."""
+    out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+    for row, text in enumerate(texts):
+        out[row, [hash(text[i : i + n]) % BUCKETS for i in range(len(text) - n + 1)]] = 1
+    return out
+
+
+def _common_letters(places: dict[str, int], size: int, text: str) -> int:
+    """The longest common subsequence of a text and one of ``size`` letters, given as bits of the places of each letter."""
+    whole = open_ = (1 << size) - 1
+    for char in text:
+        hit = open_ & places.get(char, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & whole
+    return size - open_.bit_count()
+
+
+def sequence_ratios(xs: list[str], ys: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio): the pairs of texts whose SequenceMatcher ratio is at least ``least``.
+
+    With the ratio come at most (1 - least) of all letters left over; each takes n runs
+    of n letters from its own text and n - 1 from the other, so pairs with fewer buckets
+    in common are out, as are lengths too far apart. What SequenceMatcher matches is a
+    common subsequence, so the longest one bounds the ratio; the rest are compared.
+    """
+    lx, ly = np.array([[len(x)] for x in xs], dtype=np.float64), np.array([[len(y) for y in ys]], dtype=np.float64)
+    kept = least / 2 * (lx + ly)
+    over_x, over_y = lx - kept, ly - kept
+    fits = (over_x >= -1e-6) & (over_y >= -1e-6)
+    for n in (2, 3):
+        p, q = _run_buckets(xs, n), _run_buckets(ys, n)
+        both = p @ q.T
+        fits &= both >= p.sum(axis=1)[:, None] - n * over_x - (n - 1) * over_y - 1e-6
+        fits &= both >= q.sum(axis=1)[None, :] - n * over_y - (n - 1) * over_x - 1e-6
+    matcher, last = difflib.SequenceMatcher(None), -1
+    for j, i in np.argwhere(fits.T).tolist():
+        x, y = xs[i], ys[j]
+        if j != last:
+            matcher.set_seq2(y)
+            places: dict[str, int] = {}
+            for at, char in enumerate(y):
+                places[char] = places.get(char, 0) | 1 << at
+            last = j
+        if 2 * _common_letters(places, len(y), x) >= least * (len(x) + len(y)) - 1e-9:
+            matcher.set_seq1(x)
+            if (ratio := matcher.ratio()) >= least:
+                yield i, j, ratio
+
+
+def similar_sequences(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(x, y, ratio): ids of texts of the two sides whose SequenceMatcher ratio is at least ``least``; both are (id, t) of distinct texts.
+
+    All texts of lengths that may reach the ratio are compared, in cells of bounded
+    size, by a bound that loses nothing. The work grows with the product of the sides.
+    """
+
+    def celled(frame: DataFrame) -> tuple[DataFrame, int]:
+        banded = frame.where("t <> ''").withColumn("band", F.floor(F.length("t") / BAND).cast("int"))
+        most = banded.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+        return banded, max(1, math.ceil(most / CELL))
+
+    def compare(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        found = list(sequence_ratios(xs["t"].tolist(), ys["t"].tolist(), least)) if len(xs) and len(ys) else []
+        return pd.DataFrame({"x": [xs["id"].iat[i] for i, _, _ in found], "y": [ys["id"].iat[j] for _, j, _ in found], "ratio": [r for *_, r in found]}).astype({"x": "int64", "y": "int64", "ratio": "float64"})
+
+    (a, na), (b, nb) = celled(left), celled(right)
+    # Of lengths m < n the ratio is at most 2m / (m + n); a text goes to all cells of the bands it may match.
+    wide = (2 - least) / least
+    low = lambda: F.floor(F.length("t") / F.lit(wide * BAND) - F.lit(1e-6)).cast("int")
+    high = lambda: F.floor(F.length("t") * F.lit(wide / BAND) + F.lit(1e-6)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")
+    spread = lambda f, n, c: f.withColumn(c, F.explode(F.sequence(F.greatest(low(), F.lit(0)), high()))).withColumn(f"s{c}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    ga = spread(a.select("id", "t", F.col("band").alias("ba"), own(na).alias("sba")), nb, "bb")
+    gb = spread(b.select("id", "t", F.col("band").alias("bb"), own(nb).alias("sbb")), na, "ba")
+    keys = ["ba", "sba", "bb", "sbb"]
+    return ga.groupBy(*keys).cogroup(gb.groupBy(*keys)).applyInPandas(lambda x, y: compare(x, y), "x bigint, y bigint, ratio double")
+
+
 def sequential_dedup(frame: DataFrame, keys: list[tuple[str, Column]], order: str) -> DataFrame:
     """Rows kept in order of arrival: a row goes if any of its keys was held by a row that arrived before it.
 

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from scholion.functions import text as T
 from scholion.operators import relational as R
@@ -263,14 +259,15 @@ def latest_state(spark, sf):
 
 @query()
 def sequence_title_match(spark, sf):
-    """Titles of both feeds that share their first 12 letters and are nearly the same sequence."""
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    side = lambda t, c: table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias(f"t_{c}")).withColumn("block", F.left(f"t_{c}", F.lit(12))).where("block <> ''")
-    pairs = side("feed_openreview", "a").join(side("feed_dblp", "b"), "block").where("least(length(t_a), length(t_b)) >= 0.7 * greatest(length(t_a), length(t_b))")
-    return pairs.withColumn("ratio", F.round(ratio("t_a", "t_b"), 4)).where("ratio >= 0.9").select("a", "b", "ratio")
+    """Titles of both feeds that are nearly the same sequence."""
+    side = lambda t, c: materialize(table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias("t")).where("t <> ''"), "titles")
+    a, b = side("feed_openreview", "a"), side("feed_dblp", "b")
+    # Each title is compared once, under the least id that has it; ratios that round to 0.9 count.
+    ua, ub = a.groupBy("t").agg(F.min("a").alias("id")), b.groupBy("t").agg(F.min("b").alias("id"))
+    near = R.similar_sequences(ua, ub, 0.89995)
+    bearers = lambda u, rows, k, c: u.join(rows, "t").select(F.col("id").alias(k), c)
+    pairs = near.join(bearers(ua, a, "x", "a"), "x").join(bearers(ub, b, "y", "b"), "y")
+    return pairs.select("a", "b", F.round("ratio", 4).alias("ratio")).where("ratio >= 0.9")
 
 
 @query("""SELECT raw_id, len(list_distinct(list_transform(keywords, lambda k: lower(k))))::INT AS n FROM raw_papers WHERE len(keywords) > 0 AND len(list_filter(keywords, lambda k: k IS NULL OR regexp_matches(k, '^[A-Z0-9-]{2,}s$'))) = 0""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 import re
 
@@ -80,3 +81,22 @@ def test_contained_titles_against_brute_force(spark, tmp_path):
     got = [(r.a, r.b) for r in entities.containment_title_match(spark, feeds(spark, tmp_path, left, right)).collect()]
     assert sorted(got) == sorted(want)
     assert any(0 < len(fold(left[a][1])) < 19 and fold(right[b - 1000][1]).find(fold(left[a][1])) > 0 for a, b in want)
+
+
+def test_near_sequences_against_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+
+    def damaged(text):
+        letters = list(text)
+        for _ in range(rng.randint(0, len(text) // 8 + 1)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "q", "an "])
+        return "".join(letters)
+
+    texts = ["Introducing Motaz, a toolkit", "of one", "ab", "a", *("".join(rng.choices("abcde ", k=rng.randint(3, 90))) for _ in range(60))]
+    left, right = list(enumerate([*texts, texts[0], None, ""])), [(1000 + i, t) for i, t in enumerate(["Introdcing Motaz, a toolkit", *(damaged(t) for t in texts * 2), "", None])]
+    fold = lambda t: " ".join(re.sub("[^a-z ]", "", (t or "").lower()).split())
+    ratios = {(a, b): round(difflib.SequenceMatcher(None, fold(x), fold(y)).ratio(), 4) for a, x in left for b, y in right if fold(x) and fold(y)}
+    want = sorted((*pair, r) for pair, r in ratios.items() if r >= 0.9)
+    got = sorted((r.a, r.b, r.ratio) for r in entities.sequence_title_match(spark, feeds(spark, tmp_path, left, right)).collect())
+    assert got == want and any(fold(left[a][1])[:12] != fold(right[b - 1000][1])[:12] for a, b, _ in got)
