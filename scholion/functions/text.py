@@ -143,7 +143,7 @@ def with_singulars(keywords: Column) -> Column:
 def repository_urls(text: Column) -> Column:
     """Addresses of code repositories in a text, without trailing marks, each once."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)https?://(?:www\.)?(?:github|gitlab)\.com/[\w.-]+/[\w.-]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(F.lower(u), r"(\.git|[.,;]+)$", "")))
+    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(F.lower(u), r"(\.git)?[.,;]*$", "")))
 
 
 def section_class(heading: Column) -> Column:

@@ -289,9 +289,7 @@ def section_classification(spark, sf):
 
 @query("""SELECT doc_id, 'https://github.com/' || lower(source) || '/r' || doc_id AS url FROM documents WHERE source IS NOT NULL AND regexp_full_match(source, '[A-Za-z0-9_.-]*[A-Za-z0-9_-]')""")
 def repository_links(spark, sf):
-    docs = table(spark, sf, "documents").where(F.col("source").rlike("^[A-Za-z0-9_.-]*[A-Za-z0-9_-]$"))
-    text = F.concat(F.lit("Code: https://GitHub.com/"), "source", F.lit("/r"), F.col("doc_id").cast("string"), F.lit(". See also https://github.com/"), "source", F.lit("/r"), F.col("doc_id").cast("string"), F.lit(".git"))
-    return docs.select("doc_id", F.explode(T.repository_urls(text)).alias("url"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(T.repository_urls(F.col("text"))).alias("url"))
 
 
 @query(f"""WITH s AS (SELECT point_id, lower(trim(unnest([payload.identifier, payload.doi, payload.openalex_id]))) AS k FROM (SELECT point_id, {{'identifier': payload.identifier, 'doi': payload.doi, 'openalex_id': NULL}} AS payload FROM seed_stubs UNION ALL SELECT point_id, {{'identifier': NULL, 'doi': payload.doi, 'openalex_id': payload.openalex_id}} FROM seed_papers))

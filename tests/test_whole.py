@@ -100,3 +100,10 @@ def test_near_sequences_against_brute_force(spark, tmp_path):
     want = sorted((*pair, r) for pair, r in ratios.items() if r >= 0.9)
     got = sorted((r.a, r.b, r.ratio) for r in entities.sequence_title_match(spark, feeds(spark, tmp_path, left, right)).collect())
     assert got == want and any(fold(left[a][1])[:12] != fold(right[b - 1000][1])[:12] for a, b, _ in got)
+
+
+def test_repositories_are_those_the_text_names(spark, tmp_path):
+    texts = ["Code: https://GitHub.com/acl/r1. See also https://github.com/acl/r1.git", "At http://www.gitlab.com/x/y-z.git.\nand https://github.com/q/w.js, too", "none", None]
+    at = written(spark, tmp_path, "documents", [(i, "acl", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = sorted((r.doc_id, r.url) for r in entities.repository_links(spark, at).collect())
+    assert got == [(0, "https://github.com/acl/r1"), (1, "http://www.gitlab.com/x/y-z"), (1, "https://github.com/q/w.js")]
