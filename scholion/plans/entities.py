@@ -103,7 +103,7 @@ def json_properties(spark, sf):
     return table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k is not null")
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1:25] AS s FROM documents WHERE coalesce(trim(text), '') <> '')
+@query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents WHERE coalesce(trim(text), '') <> '')
 SELECT doc_id, p, CASE WHEN ends_with(x, '?') THEN 'question' WHEN regexp_matches(x, '[0-9]') THEN 'result' ELSE 'background' END AS label FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1)::INT AS p FROM s)""")
 def sentence_roles(spark, sf):
     docs = table(spark, sf, "documents").where(T.has_value(F.col("text"))).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "x"))
@@ -270,12 +270,16 @@ def sequence_title_match(spark, sf):
     return pairs.select("a", "b", F.round("ratio", 4).alias("ratio")).where("ratio >= 0.9")
 
 
-@query("""SELECT raw_id, len(list_distinct(list_transform(keywords, lambda k: lower(k))))::INT AS n FROM raw_papers WHERE len(keywords) > 0 AND len(list_filter(keywords, lambda k: k IS NULL OR regexp_matches(k, '^[A-Z0-9-]{2,}s$'))) = 0""")
+_KEYWORDS = "list_filter(flatten(list_transform(keywords, lambda k: CASE WHEN regexp_full_match(k, '[A-Z0-9-]{2,}s') THEN [k, regexp_replace(k, 's$', '')] ELSE [k] END)), lambda k: k IS NOT NULL)"
+
+
+@query(f"SELECT raw_id, len(list_distinct(list_transform({_KEYWORDS}, lambda k: lower(k))))::INT AS n FROM raw_papers WHERE len(keywords) > 0")
 def keyword_dedup(spark, sf):
     return keyword_lists(spark, sf).select("raw_id", F.size("keywords").alias("n"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT raw_id, unnest({_KEYWORDS}) AS k, generate_subscripts({_KEYWORDS}, 1) AS p FROM raw_papers), f AS (SELECT raw_id, arg_min(k, p) AS k, min(p) AS p FROM k GROUP BY raw_id, lower(k))
+SELECT r.raw_id, coalesce(list(f.k ORDER BY f.p) FILTER (f.k IS NOT NULL), []) AS keywords FROM raw_papers r LEFT JOIN f USING (raw_id) WHERE len(r.keywords) > 0 GROUP BY r.raw_id""")
 def keyword_lists(spark, sf):
     """The keywords that ``keyword_dedup`` counts."""
     return table(spark, sf, "raw_papers").where("size(keywords) > 0").select("raw_id", T.with_singulars(F.col("keywords")).alias("keywords"))
@@ -287,7 +291,7 @@ def section_classification(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.section_class(F.substring_index("text", "\n", 1)).alias("kind"))
 
 
-@query("""SELECT doc_id, 'https://github.com/' || lower(source) || '/r' || doc_id AS url FROM documents WHERE source IS NOT NULL AND regexp_full_match(source, '[A-Za-z0-9_.-]*[A-Za-z0-9_-]')""")
+@query(r"""SELECT DISTINCT doc_id, regexp_replace(lower(unnest(regexp_extract_all(text, '(?i)https?://(?:www\.)?(?:github|gitlab)\.com/[\w.-]+/[\w.-]+'))), '(\.git)?[.,;]*$', '') AS url FROM documents""")
 def repository_links(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.repository_urls(F.col("text"))).alias("url"))
 
@@ -302,7 +306,7 @@ def identifier_index(spark, sf):
 
 
 @query(f"""WITH a AS (SELECT rec_id AS a, {_TITLE.format('title')} AS ta FROM feed_openreview), b AS (SELECT rec_id AS b, {_TITLE.format('title')} AS tb FROM feed_dblp)
-SELECT a, b FROM a JOIN b ON string_split(ta, ' ')[1:4] = string_split(tb, ' ')[1:4] WHERE ta = tb OR (length(tb) > 20 AND contains(ta, tb)) OR (length(tb) > 20 AND contains(tb, ta))""")
+SELECT a, b FROM a JOIN b ON ta = tb OR (length(tb) > 20 AND contains(ta, tb)) OR (length(tb) > 20 AND contains(tb, ta))""")
 def containment_title_match(spark, sf):
     """Titles of both feeds that are equal, or of which one stands anywhere in the other and that of dblp has over 20 letters."""
     side = lambda t, c: table(spark, sf, t).select(F.col("rec_id").alias(c), T.normalize_title(F.col("title")).alias("t"))

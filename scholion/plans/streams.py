@@ -68,7 +68,7 @@ def stream_upsert(spark, sf):
     return target.read()
 
 
-@query("""SELECT raw_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title FROM raw_papers WHERE title NOT LIKE '%<%' AND title NOT LIKE '%&%' AND title NOT LIKE '%{%' AND regexp_full_match(title, '[ -~]*')""")
+@query("""SELECT raw_id, trim(regexp_replace(title, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS title FROM raw_papers""")
 def xml_titles(spark, sf):
     papers = table(spark, sf, "raw_papers")
     xml = F.concat(F.lit("<paper><title>"), F.regexp_replace(records.escaped(F.col("title")), "^(\\S+)", "<i>$1</i>"), F.lit("</title></paper>"))
