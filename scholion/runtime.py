@@ -89,11 +89,29 @@ def drop(df: DataFrame) -> None:
     for uri in df.inputFiles()[:1]:
         folder = os.path.dirname(uri)
         if root in folder:
-            jvm = spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, at = _file(spark, folder)
+            fs.delete(at, True)
 
 
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has no more than ``bound`` rows, looking at bound + 1 rows only."""
-    return df.limit(bound + 1).count() <= bound
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file to a folder that the session reaches, over what was there."""
+    fs, at = _file(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, whole."""
+    fs, at = _file(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
