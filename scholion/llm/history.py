@@ -1,21 +1,26 @@
 """Problem 1: new batches against all history, by an incremental inverted index.
 
-The index holds, of everything accepted so far, the record classes (own DOI, folded
-title, year -> first id) and, for each distinct folded title, postings of its
-rare-token prefix. A batch is reduced to classes, its prefixes probe the postings,
-lengths are filtered, overlap and slips verified, and its own postings appended; the
-history's texts are read only for candidates.
-
-Prefix: the P rarest words of a title in one global order (a count sketch of fixed
-size, frozen when the index is made, then the word's hash). Two titles that differ in
-at most K words share at least P - K prefix words, so every combination of P - K
-prefix words is one token: titles within K words share a token for certain, and tokens
-of several rare words have short postings whatever the corpus size.
+The index is a set of tables in one folder: the record classes accepted so far, the
+distinct titles, the postings of their rare-token prefixes, and the similar titles found.
+Each is bucketed by the key that it is probed with (postings by token), so a delivery is
+shuffled to the index's buckets and the history stays where it is. A delivery is reduced
+to classes, the tokens of the titles that are new probe the postings, lengths are
+filtered, slips verified, and everything new is appended. No history row is paired with
+another history row.
+
+Prefix: the P rarest words of a title in one global order (a count sketch of fixed size,
+frozen when the index is made, then the word's hash). Two titles that differ in at most
+K words share at least P - K prefix words, so every combination of P - K prefix words is
+one token: titles within K words share a token for certain. Words count with their place
+and the title's number of words, as slips move no word; that keeps postings short. Short
+titles have rules of their own, certain within what the verifier accepts of them.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,26 +29,26 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.llm.components import connected_components
 from scholion.llm.identifiers import is_preprint, own_doi
-from scholion.llm.titles import fold_words, same_but_slips, series_mark
-from scholion.runtime import drop, materialize
+from scholion.llm.titles import damaged_words, fold_words, same_but_slips, series_mark, shortened_forms, slips_allowed
+from scholion.runtime import drop, materialize, read_text, shared_dir, write_text
 
 PREFIX = 6
-DAMAGED = 2
 SKETCH = 1 << 15
-LENGTH_GAP = 4
+#: Damaged words a title may have (``damaged_words``) times the edits a word may have.
+LENGTH_GAP = 6
 YEAR_GAP = 1
 
 
-def normalised(papers: DataFrame) -> DataFrame:
-    """(raw_id, dk, open, title_id, year, words, known) of (raw_id, title, year, doi[, known]).
+def normalised(papers: DataFrame, *keep: str) -> DataFrame:
+    """(raw_id, dk, open, title_id, year, words, *keep) of (raw_id, title, year, doi).
 
     dk is the hash of the row's own DOI, open tells that it has none but a preprint's,
-    title_id the hash of the folded title. Rows with neither are dropped: nothing
-    identifies them.
+    title_id the hash of the folded title's letters. Rows with neither are dropped:
+    nothing identifies them.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +63,10 @@ def normalised(papers: DataFrame) -> DataFrame:
         F.coalesce(F.col("year").cast("int"), F.lit(-1)).alias("year"),
         F.when(doi.isNotNull(), F.xxhash64(doi)).alias("dk"),
         F.coalesce(is_preprint(doi), F.lit(True)).alias("open"),
+        *keep,
     )
-    folded = keyed.mapInArrow(fold, "words string, raw_id bigint, year int, dk bigint, open boolean")
+    kinds = dict(papers.dtypes)
+    folded = keyed.mapInArrow(fold, "words string, raw_id bigint, year int, dk bigint, open boolean" + "".join(f", {c} {kinds[c]}" for c in keep))
     title = F.when(F.col("words").isNotNull(), F.xxhash64(F.replace("words", F.lit(" "), F.lit(""))))
     return folded.withColumn("title_id", title).where("dk is not null or title_id is not null")
 
@@ -93,150 +100,246 @@ def word_sketch(normal: DataFrame) -> list[int]:
 
 
 def prefix_tokens(words: list[str], rank) -> list[int]:  # noqa: ANN001
-    """The index tokens of a title: combinations of its rarest words, tied to its numerals."""
-    ranked = sorted(set(words), key=rank)[:PREFIX]
-    if len(ranked) < 2:
-        return []
-    size = len(ranked) - (DAMAGED if len(ranked) == PREFIX else 1)
+    """The index tokens of a title: combinations of its rarest words, tied to their places, its length and its numerals.
+
+    One word: the word and its forms with a letter left out. Two: either word with a form
+    of the other. More: combinations of as many of the rarest words as stay whole
+    whichever are damaged.
+    """
+    n = len(words)
     mark = series_mark(words)
+    head = f"{n}\x1f{mark}\x1f"
+    token = lambda *parts: xxhash.xxh3_64_intdigest(head + "\x1e".join(parts)) - (1 << 63)
+    if n == 0:
+        return []
+    if n == 1:
+        return sorted({token(f) for f in shortened_forms(words[0], slips_allowed(words[0], True))})
+    if n == 2:
+        forms = [shortened_forms(w, slips_allowed(w, i == 1)) for i, w in enumerate(words)]
+        return sorted({token(words[0], f) for f in forms[1]} | {token(f, words[1]) for f in forms[0]})
+    ranked = sorted(range(n), key=lambda i: (rank(words[i]), i))[:PREFIX]
+    size = len(ranked) - damaged_words(n)
     ranked.sort()
-    return [xxhash.xxh3_64_intdigest("\x1f".join((mark, *some))) - (1 << 63) for some in combinations(ranked, size)]
+    return [token(*(f"{i}\x1d{words[i]}" for i in some)) for some in combinations(ranked, size)]
+
+
+def _ranker(sketch: list[int]):  # noqa: ANN202
+    ranks: dict[str, tuple[float, int]] = {}
+
+    def rank(word: str) -> tuple[float, int]:
+        found = ranks.get(word)
+        if found is None:
+            if len(ranks) > 500_000:
+                ranks.clear()
+            crc = zlib.crc32(word.encode())
+            # Counts in steps of doubling: the order of rare words does not hang on small changes.
+            found = ranks[word] = (math.frexp(sketch[crc % SKETCH])[1], crc)
+        return found
+
+    return rank
 
 
 def postings(titles: DataFrame, sketch: list[int]) -> DataFrame:
-    """(tok, title_id, length, open, fresh): the prefix tokens of distinct titles."""
+    """(tok, text_id, length, open) out of distinct (text_id, words, open)."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks: dict[str, tuple[float, int]] = {}
-
-        def rank(word: str) -> tuple[float, int]:
-            found = ranks.get(word)
-            if found is None:
-                if len(ranks) > 500_000:
-                    ranks.clear()
-                crc = zlib.crc32(word.encode())
-                # Counts in steps of doubling: the order of rare words does not hang on small changes.
-                found = ranks[word] = (math.frexp(sketch[crc % SKETCH])[1], crc)
-            return found
-
+        rank = _ranker(sketch)
         for batch in batches:
-            lists = [prefix_tokens(x.split(), rank) for x in batch.column(0).to_pylist()]
-            lengths = pa.array([len(x) - x.count(" ") for x in batch.column(0).to_pylist()], pa.int32())
-            arrays = [pa.array(lists, pa.list_(pa.int64())), lengths, *batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["toks", "length", *batch.schema.names[1:]])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                texts = part.column(0).to_pylist()
+                lists = [prefix_tokens(x.split(), rank) for x in texts]
+                rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                lengths = pa.array([len(x) - x.count(" ") for x in texts], pa.int32())
+                arrays = [pa.array([t for x in lists for t in x], pa.int64()), part.column(1).take(rows), lengths.take(rows), part.column(2).take(rows)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["tok", "text_id", "length", "open"])
 
-    listed = titles.select("words", "title_id", "rep", "open", "fresh").mapInArrow(
-        tokens, "toks array<bigint>, length int, title_id bigint, rep bigint, open boolean, fresh boolean"
-    )
-    return listed.select(F.explode("toks").alias("tok"), "rep", "length", "open", "fresh")
+    return titles.select("words", "text_id", "open").mapInArrow(tokens, "tok bigint, text_id bigint, length int, open boolean")
 
 
 class AcceptedIndex:
-    """State of everything accepted: classes and postings as tables in the shared folder."""
-
-    def __init__(self, sketch: list[int] | None = None) -> None:
-        self.sketch = sketch
-        self.classes: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
-        self.posted: list[DataFrame] = []
-
-    @staticmethod
-    def _all(parts: list[DataFrame], fresh: DataFrame | None = None) -> DataFrame:
-        frames = [p.withColumn("fresh", F.lit(False)) for p in parts]
-        if fresh is not None:
-            frames.append(fresh.withColumn("fresh", F.lit(True)))
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
-
-    def ingest(self, papers: DataFrame, link: bool = True) -> DataFrame:
-        """Probe the index with a delivery, append it, and return the links found.
-
-        ``papers`` may hold one batch or several; rows also meet the rows delivered
-        with them. (src, dst) are raw ids, directly linked or by way of the first row
-        of a class. With ``link`` false (a history known to hold no work twice) rows
-        are only accepted.
+    """Everything accepted so far, as bucketed tables of one folder; ``open`` finds it again.
+
+    ``classes`` holds, by key, the first row of every class of records, once under its
+    title and once under its DOI; ``titles`` the distinct titles by text; ``postings``
+    their tokens; ``similar`` similar titles, in both directions. Every row tells the
+    delivery that brought it.
+    """
+
+    KEYS = {"classes": "key", "titles": "text_id", "postings": "tok", "similar": "title_id"}
+    SCHEMA = {
+        "classes": "key BIGINT, doi BOOLEAN, year INT, open BOOLEAN, first_id BIGINT, delivery INT",
+        "titles": "text_id BIGINT, title_id BIGINT, words STRING, open BOOLEAN, delivery INT",
+        "postings": "tok BIGINT, text_id BIGINT, length INT, open BOOLEAN, delivery INT",
+        "similar": "title_id BIGINT, other BIGINT, delivery INT",
+    }
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.folder = (folder or f"{shared_dir(spark)}/accepted-{uuid.uuid4().hex[:12]}").rstrip("/")
+        self.buckets = buckets or max(8, spark.sparkContext.defaultParallelism)
+        self.delivery, self.version, self.sketch = 0, 0, None
+        self._known: set[str] = set()
+        self._prefix = f"accepted_{uuid.uuid4().hex[:12]}"
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> AcceptedIndex:
+        """The index that an earlier session left in ``folder``."""
+        note = json.loads(read_text(spark, f"{folder.rstrip('/')}/note.json"))
+        index = cls(spark, folder, note["buckets"])
+        index.delivery, index.version, index.sketch = note["delivery"], note["version"], json.loads(read_text(spark, f"{index.folder}/sketch.json"))
+        for name in note["tables"]:
+            spark.sql(f"CREATE TABLE {index._table(name)} ({cls.SCHEMA[name]}) USING parquet CLUSTERED BY ({cls.KEYS[name]}) INTO {index.buckets} BUCKETS LOCATION '{index._path(name)}'")
+            index._known.add(name)
+        return index
+
+    def _table(self, name: str) -> str:
+        return f"{self._prefix}_{name}_{self.version}"
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}-{self.version}"
+
+    def _append(self, name: str, rows: DataFrame) -> DataFrame:
+        """Add rows of this delivery to a table; they come back as the table holds them."""
+        columns = [c.split()[0] for c in self.SCHEMA[name].split(", ")]
+        made = rows.withColumn("delivery", F.lit(self.delivery)).select(*columns).repartition(self.buckets, self.KEYS[name])
+        made.write.mode("append").format("parquet").bucketBy(self.buckets, self.KEYS[name]).option("path", self._path(name)).saveAsTable(self._table(name))
+        self._known.add(name)
+        return self.read(name).where(F.col("delivery") == self.delivery)
+
+    def read(self, name: str) -> DataFrame:
+        """A table of the index; an empty one before its first rows."""
+        if name not in self._known:
+            return self.spark.createDataFrame([], self.SCHEMA[name])
+        return self.spark.table(self._table(name))
+
+    def _note(self) -> None:
+        """What ``open`` needs to know; a delivery counts from here on."""
+        note = {"delivery": self.delivery, "version": self.version, "buckets": self.buckets, "tables": sorted(self._known)}
+        write_text(self.spark, f"{self.folder}/note.json", json.dumps(note))
+
+    def compact(self) -> None:
+        """Rewrite every table with one file a bucket, as many small deliveries leave many files."""
+        frames = {name: self.read(name) for name in sorted(self._known)}
+        old = {name: self._table(name) for name in frames}
+        self.version += 1
+        for name, frame in frames.items():
+            made = frame.repartition(self.buckets, self.KEYS[name])
+            made.write.format("parquet").bucketBy(self.buckets, self.KEYS[name]).sortBy(self.KEYS[name]).option("path", self._path(name)).saveAsTable(self._table(name))
+        self._note()
+        for frame, name in zip(frames.values(), old.values()):
+            drop(frame)
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self) -> None:
+        """Forget the tables' names; the files stay for ``open``."""
+        for name in self._known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+
+    def ingest(self, papers: DataFrame, link: bool = True) -> DataFrame | None:
+        """Probe the index with a delivery (raw_id, title, year, doi), append it, and return the links found."""
+        landed = materialize(normalised(papers), "normal")
+        links = self.ingest_normalised(landed, link)
+        drop(landed)
+        return links
+
+    def ingest_normalised(self, normal: DataFrame, link: bool = True) -> DataFrame | None:
+        """The same for a delivery that ``normalised`` has prepared.
+
+        (src, dst) are raw ids, directly linked or by way of the first row of a class.
+        Rows also meet the rows delivered with them. With ``link`` false (a history known
+        to hold no work twice) rows are only accepted, and nothing is returned.
         """
-        normal = materialize(normalised(papers), "normal")
         if self.sketch is None:
             self.sketch = word_sketch(normal)
-        classes = materialize(
-            normal.groupBy("dk", "open", "title_id", "year").agg(F.min("raw_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes"
-        )
-        every = self._all(self.classes, classes)
-        # A title is posted once for each delivery, by the first row that carries it.
-        reps = classes.where("title_id is not null").groupBy("title_id").agg(F.min("first_id").alias("rep"), F.bool_or("open").alias("open"))
-        titles = normal.select(F.col("raw_id").alias("rep"), "words", "title_id").join(reps, ["title_id", "rep"]).withColumn("fresh", F.lit(True))
-        fresh = materialize(postings(titles, self.sketch).drop("fresh"), "postings")
-        texts = normal.select("raw_id", "words")
+            write_text(self.spark, f"{self.folder}/sketch.json", json.dumps(self.sketch))
+        self.delivery += 1
+        of_title = F.struct(F.col("title_id").alias("key"), F.lit(False).alias("doi"), "year", "open")
+        of_doi = F.struct(F.col("dk").alias("key"), F.lit(True).alias("doi"), F.lit(-1).alias("year"), F.lit(False).alias("open"))
+        grouped = normal.groupBy("dk", "open", "title_id", "year").agg(F.min("raw_id").alias("first_id"))
+        keyed = grouped.select(F.explode(F.array(of_title, of_doi)).alias("k"), "first_id").where("k.key is not null")
+        classes = self._append("classes", keyed.select("k.*", "first_id"))
+        texts = normal.where("words is not null").groupBy(F.xxhash64("words").alias("text_id"), "title_id", "words").agg(F.bool_or("open").alias("open"))
+        if self.delivery > 1:
+            # A title is posted when it is new, and once more when its first row without a DOI of its own comes.
+            held = self.read("titles").select("text_id", F.col("open").alias("was_open"))
+            held = texts.select("text_id").join(held, "text_id").groupBy("text_id").agg(F.bool_or("was_open").alias("was_open"))
+            texts = texts.join(held, "text_id", "left").where("was_open is null or open and not was_open").drop("was_open")
+        new_titles = self._append("titles", texts)
+        posted = self._append("postings", postings(new_titles, self.sketch))
         links = None
         if link:
-            links = self._links(normal, every, self._all(self.posted, fresh), self._all(self.texts, texts))
-        self.classes.append(classes.drop("n").withColumn("n", F.lit(1).cast("bigint")))
-        self.posted.append(fresh)
-        self.texts.append(texts)
-        return links if links is not None else normal.select(F.col("raw_id").alias("src"), F.col("raw_id").alias("dst")).limit(0)
-
-    def _similar(self, posted: DataFrame, texts: DataFrame) -> DataFrame:
-        """(a, b) first rows of distinct titles that differ by slips only; one of the two is new, one open."""
-        left = posted.where("open").select("tok", F.col("rep").alias("a"), F.col("length").alias("la"), F.col("fresh").alias("fa"), F.col("open").alias("oa"))
-        right = posted.select("tok", F.col("rep").alias("b"), F.col("length").alias("lb"), F.col("fresh").alias("fb"), F.col("open").alias("ob"))
-        # Two open titles meet twice, once from either side; one is enough.
-        near = (F.col("fa") | F.col("fb")) & (F.abs(F.col("la") - F.col("lb")) <= LENGTH_GAP) & F.when(F.col("ob"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-        pairs = materialize(left.join(right, "tok").where(near).select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("raw_id")).unionByName(pairs.select(F.col("b").alias("raw_id"))).distinct()
-        words = materialize(texts.select("raw_id", "words").join(ids, "raw_id"), "words")
+            self._append("similar", self._similar(posted))
+            links = self._links(normal, classes)
+        self._note()
+        return links
+
+    def _similar(self, posted: DataFrame) -> DataFrame:
+        """(title_id, other), in both directions: titles of which one was posted now that differ by slips only; one of the two is open."""
+        now = posted.select("tok", F.col("text_id").alias("a"), F.col("length").alias("la"), F.col("open").alias("oa"))
+        ever = self.read("postings").select("tok", F.col("text_id").alias("b"), F.col("length").alias("lb"), F.col("open").alias("ob"), (F.col("delivery") == self.delivery).alias("fb"))
+        # Two titles posted now meet twice, once from either side; one is enough.
+        near = (F.col("oa") | F.col("ob")) & (F.abs(F.col("la") - F.col("lb")) <= LENGTH_GAP) & F.when(F.col("fb"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+        pairs = now.join(ever, "tok").where(near).select("a", "b").distinct()
+        words = self.read("titles")
+        both = pairs.join(words.select(F.col("text_id").alias("a"), F.col("title_id").alias("ta"), F.col("words").alias("wa")), "a")
+        both = both.join(words.select(F.col("text_id").alias("b"), F.col("title_id").alias("tb"), F.col("words").alias("wb")), "b").where("ta <> tb")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [same_but_slips(x.split(), y.split()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        both = pairs.join(words.select(F.col("raw_id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("raw_id").alias("b"), F.col("words").alias("wb")), "b")
-        return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a bigint, b bigint")
-
-    def _links(self, normal: DataFrame, every: DataFrame, posted: DataFrame, texts: DataFrame) -> DataFrame:
-        # Same class or same own DOI: each to the first row.
-        delivered = normal.select("raw_id", "dk", "open", "title_id", "year")
-        by_doi = every.where("dk is not null").groupBy("dk").agg(F.min("first_id").alias("dst"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("n") > 1).alias("many")).where("n > 1 or many")
-        doi_links = delivered.join(by_doi.select("dk", "dst"), "dk").where("raw_id <> dst").select(F.col("raw_id").alias("src"), "dst")
-        # Titles: rows without a DOI of their own open a meeting place per title and year; rows of the same
-        # or a similar title and a matching year go there, and all of a place are linked to its first.
-        titled = every.where("title_id is not null")
-        reps = titled.groupBy("title_id").agg(F.min("first_id").alias("rep"), F.bool_or("open").alias("any_open"), F.bool_or("fresh").alias("any_fresh"), F.sum("n").alias("rows"))
-        similar = materialize(self._similar(posted, texts), "similar")
-        both = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # A title delivered more than once has a posting, under the first row, of each delivery.
-        named = titled.select("first_id", "title_id").join(both.select(F.col("a").alias("first_id")).distinct(), "first_id").distinct()
-        other = both.join(named.select(F.col("first_id").alias("a"), F.col("title_id").alias("place")), "a").join(named.withColumnRenamed("first_id", "b"), "b").select("place", "title_id")
-        own = reps.where("any_open and any_fresh and rows > 1").select(F.col("title_id").alias("place"), "title_id")
-        hosts = other.select("place", F.col("place").alias("title_id"))
-        meets = own.unionByName(other).unionByName(hosts).distinct()
-        places = titled.where("open").select(F.col("title_id").alias("place"), F.col("year").alias("at")).distinct()
+                keep = pa.array([same_but_slips(x.split(), y.split()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+                a, b = batch.column(0).filter(keep), batch.column(1).filter(keep)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]), pa.concat_arrays([b, a])], names=["title_id", "other"])
+
+        return both.select("ta", "tb", "wa", "wb").mapInArrow(verify, "title_id bigint, other bigint").distinct()
+
+    def _links(self, normal: DataFrame, classes: DataFrame) -> DataFrame:
+        """Rows with the first of their class, and classes with the first of each place they meet at.
+
+        A DOI is a place that all its rows visit. A title and year is one where a row
+        without a DOI of its own has them; rows of the same or a similar title and a
+        matching year go there. All of a place are linked to its first.
+        """
+        held, similar = self.read("classes"), self.read("similar").select("title_id", "other")
+        came = classes.select("key", "doi").distinct()
+        titles = came.where("not doi").select(F.col("key").alias("title_id"))
+        touched = titles.unionByName(titles.join(similar, "title_id").select(F.col("other").alias("title_id"))).distinct()
+        others = touched.join(similar, "title_id").select(F.col("title_id").alias("place"), F.col("other").alias("key"))
+        meets = touched.select(F.col("title_id").alias("place"), F.col("title_id").alias("key")).unionByName(others).distinct()
+        named = held.where("not doi").select("key", "year", "open", "first_id")
+        places = touched.withColumnRenamed("title_id", "key").join(named.where("open"), "key").select(F.col("key").alias("place"), F.col("year").alias("at")).distinct()
         in_year = (F.col("year") == -1) | (F.col("at") == -1) | (F.abs(F.col("year") - F.col("at")) <= YEAR_GAP)
-        visits = materialize(titled.select("title_id", "year", "first_id").distinct().join(meets, "title_id").join(places, "place").where(in_year).select("place", "at", "first_id"), "visits")
-        heads = visits.groupBy("place", "at").agg(F.min("first_id").alias("dst"))
-        title_links = visits.join(heads, ["place", "at"]).where("first_id <> dst").select(F.col("first_id").alias("src"), "dst")
-        # Rows of one class with an open title are the same work by title; the class stands for them.
-        within = delivered.where("open and title_id is not null").join(
-            every.where("open and title_id is not null").groupBy("title_id", "year", F.coalesce("dk", F.lit(0)).alias("dk0")).agg(F.min("first_id").alias("dst"), F.sum("n").alias("rows")).where("rows > 1").select("title_id", "year", "dk0", "dst"),
-            ["title_id", "year"],
-        ).where("coalesce(dk, 0) = dk0 and raw_id <> dst").select(F.col("raw_id").alias("src"), "dst")
-        return materialize(doi_links.unionByName(title_links).unionByName(within).distinct(), "links")
+        by_title = meets.join(named.drop("open"), "key").join(places, "place").where(in_year).select("place", "at", "first_id")
+        by_doi = came.where("doi").select("key").join(held.where("doi").select("key", "first_id"), "key").select(F.col("key").alias("place"), F.lit(-2).alias("at"), "first_id")
+        visits = by_title.unionByName(by_doi).distinct()
+        heads = visits.groupBy("place", "at").agg(F.min("first_id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        met = visits.join(heads, ["place", "at"]).select(F.col("first_id").alias("src"), "dst")
+        cid = F.xxhash64("dk", "open", F.coalesce("title_id", F.lit(0)), "year")
+        firsts = normal.groupBy(cid.alias("cid")).agg(F.min("raw_id").alias("dst"), F.max("raw_id").alias("last")).where("dst <> last").drop("last")
+        repeats = normal.select(F.col("raw_id").alias("src"), cid.alias("cid")).join(firsts, "cid").select("src", "dst")
+        return materialize(met.unionByName(repeats).where("src <> dst").distinct(), "links")
 
 
 def duplicates_against_history(papers: DataFrame) -> DataFrame:
     """(first_id, raw_id) for rows of batch 1 and later that describe a work seen before.
 
-    Batch 0 is accepted as it is; the later batches are one delivery each to the index
-    or, as here, caught up in one (the result is the same). Rows without own DOI and
-    title match nothing; null years match any; repeated raw_ids count once; extra
-    columns are ignored; empty tables give empty results.
+    Batch 0 is accepted as it is; the later batches are delivered to the index one by one
+    in their order, each probing what came before it. Rows without own DOI and title
+    match nothing, as do rows without a batch; null years match any; repeated raw_ids
+    count once; extra columns are ignored; empty tables give empty results.
     """
-    index = AcceptedIndex()
-    index.ingest(papers.where("batch_no = 0"), link=False)
-    links = index.ingest(papers.where("batch_no >= 1"))
-    groups = connected_components(links)
-    late = papers.where("batch_no >= 1").select("raw_id").distinct()
+    spark = papers.sparkSession
+    landed = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex[:12]}"
+    made = normalised(papers.where("batch_no is not null"), "batch_no")
+    made.write.partitionBy("batch_no").parquet(landed)
+    normal = spark.read.schema(made.schema).parquet(landed)
+    index, found = AcceptedIndex(spark), None
+    for number in sorted(r[0] for r in normal.select("batch_no").distinct().collect()):
+        part = index.ingest_normalised(normal.where(F.col("batch_no") == number).drop("batch_no"), link=number > 0)
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return normal.select(F.col("raw_id").alias("first_id"), "raw_id").limit(0)
+    groups = connected_components(found)
+    late = normal.where("batch_no >= 1").select("raw_id").distinct()
     return groups.where("node <> component").join(late, F.col("node") == F.col("raw_id"), "left_semi").select(F.col("component").alias("first_id"), F.col("node").alias("raw_id"))

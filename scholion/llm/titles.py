@@ -8,7 +8,9 @@ import unicodedata
 
 from scholion.llm.lookalike import SAME_GLYPH, invisible
 
-MARKUP = re.compile(r"<[^<>]{0,40}>|\\[a-zA-Z]+\s*(?=\{)|[{}$]")
+MARKUP = re.compile(r"<[^<>]*>|\\[a-zA-Z]+\s*(?=\{)|[{}$]")
+#: Letters from which a word is a text without spaces.
+LONG = 64
 SERIES = re.compile(r"^(?:[ivx]+|.*\d.*)$")
 
 
@@ -68,20 +70,57 @@ def slips(a: str, b: str, most: int) -> int:
     return min(rows[-1][-1], most + 1)
 
 
-def same_but_slips(a: list[str], b: list[str], words: int = 3) -> bool:
+def slips_allowed(word: str, last: bool) -> int:
+    """Edits that a word may have: one if it is short, the last (where a series names its language) or no word but a text without spaces, else two."""
+    return 1 if last or not 5 <= len(word) <= LONG else 2
+
+
+def damaged_words(n: int) -> int:
+    """Words of a title of n that slips may have damaged: three, of short titles fewer."""
+    return 3 if n > 5 else 2 if n > 3 else 1
+
+
+def shortened_forms(word: str, most: int) -> set[str]:
+    """A word and its forms with up to ``most`` letters left out; two words within as many edits share one.
+
+    A single left-out letter of a very long word is told by what is before and behind it,
+    so that the forms stay as long together as the word is, not its square.
+    """
+    forms, last = {word}, {word}
+    if len(word) <= LONG:
+        for _ in range(most):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            forms = forms | last
+        if len(word) < LONG:
+            return forms
+    base, modulus = 1_000_003, (1 << 61) - 1
+    before, behind, power = [0], [0], [1]
+    for c in word:
+        before.append((before[-1] * base + ord(c)) % modulus)
+        power.append(power[-1] * base % modulus)
+    for k, c in enumerate(reversed(word)):
+        behind.append((ord(c) * power[k] + behind[-1]) % modulus)
+    # A word of just LONG letters meets those of its own kind and those one longer.
+    whole = {f"~{len(word)}~{before[-1]}"}
+    if len(word) == LONG:
+        return forms | whole
+    n = len(word)
+    return whole | {f"~{n - 1}~{(before[i] * power[n - i - 1] + behind[n - i - 1]) % modulus}" for i in range(n)}
+
+
+def same_but_slips(a: list[str], b: list[str]) -> bool:
     """Whether two titles differ by slips of typing only.
 
-    Word by word, at most ``words`` words differ, each by two edits or fewer (one in
-    words under five letters and in the last word, where a series names its language),
-    and numerals agree.
+    Word by word, at most three words differ (``damaged_words``), each by two edits or
+    fewer (``slips_allowed``), and numerals agree.
     """
     if len(a) != len(b) or series_mark(a) != series_mark(b):
         return False
-    damaged = 0
+    damaged, allowed = 0, damaged_words(len(a))
     for at, (x, y) in enumerate(zip(a, b)):
         if x != y:
             damaged += 1
-            most = 1 if min(len(x), len(y)) < 5 or at == len(a) - 1 else 2
-            if damaged > words or slips(x, y, most) > most:
+            most = min(slips_allowed(w, at == len(a) - 1) for w in (x, y))
+            if damaged > allowed or slips(x, y, most) > most:
                 return False
     return True
