@@ -29,16 +29,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scholion.llm.components import connected_components
 from scholion.llm.identifiers import is_preprint, own_doi
-from scholion.llm.titles import damaged_words, fold_words, same_but_slips, series_mark, shortened_forms, slips_allowed
+from scholion.llm.titles import MOST_DAMAGED, damaged_words, fold_words, same_but_slips, series_mark, shortened_forms, slips_allowed
 from scholion.runtime import drop, materialize, read_text, shared_dir, write_text
 
 PREFIX = 6
 SKETCH = 1 << 15
-#: Damaged words a title may have (``damaged_words``) times the edits a word may have.
+#: Damaged words times the edits of each.
 LENGTH_GAP = 6
 YEAR_GAP = 1
 
@@ -123,6 +123,21 @@ def prefix_tokens(words: list[str], rank) -> list[int]:  # noqa: ANN001
     return [token(*(f"{i}\x1d{words[i]}" for i in some)) for some in combinations(ranked, size)]
 
 
+def signature(words: list[str]) -> int:
+    """Four bits of each word's hash, by its place modulo 16: as many of the 16 groups differ as words do, or fewer."""
+    out = 0
+    for at, word in enumerate(words):
+        out ^= (zlib.crc32(word.encode()) >> 7 & 15) << at % 16 * 4
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _groups_apart(a: str, b: str) -> Column:
+    """In how many groups of four bits two signatures differ."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    any_of = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    return F.bit_count(any_of.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _ranker(sketch: list[int]):  # noqa: ANN202
     ranks: dict[str, tuple[float, int]] = {}
 
@@ -140,7 +155,7 @@ def _ranker(sketch: list[int]):  # noqa: ANN202
 
 
 def postings(titles: DataFrame, sketch: list[int]) -> DataFrame:
-    """(tok, text_id, length, open) out of distinct (text_id, words, open)."""
+    """(tok, text_id, length, sig, open) out of distinct (text_id, words, open)."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = _ranker(sketch)
@@ -148,29 +163,32 @@ def postings(titles: DataFrame, sketch: list[int]) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 texts = part.column(0).to_pylist()
-                lists = [prefix_tokens(x.split(), rank) for x in texts]
+                split = [x.split() for x in texts]
+                lists = [prefix_tokens(x, rank) for x in split]
+                signs = pa.array([signature(x) for x in split], pa.int64())
                 rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
                 lengths = pa.array([len(x) - x.count(" ") for x in texts], pa.int32())
-                arrays = [pa.array([t for x in lists for t in x], pa.int64()), part.column(1).take(rows), lengths.take(rows), part.column(2).take(rows)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["tok", "text_id", "length", "open"])
+                arrays = [pa.array([t for x in lists for t in x], pa.int64()), part.column(1).take(rows), lengths.take(rows), signs.take(rows), part.column(2).take(rows)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["tok", "text_id", "length", "sig", "open"])
 
-    return titles.select("words", "text_id", "open").mapInArrow(tokens, "tok bigint, text_id bigint, length int, open boolean")
+    return titles.select("words", "text_id", "open").mapInArrow(tokens, "tok bigint, text_id bigint, length int, sig bigint, open boolean")
 
 
 class AcceptedIndex:
     """Everything accepted so far, as bucketed tables of one folder; ``open`` finds it again.
 
-    ``classes`` holds, by key, the first row of every class of records, once under its
-    title and once under its DOI; ``titles`` the distinct titles by text; ``postings``
+    ``classes`` holds, by key, the first row of every class of records of a delivery, once
+    under its title and once under its DOI, which is a title without year that slips do
+    not change; ``titles`` the distinct titles by text; ``postings``
     their tokens; ``similar`` similar titles, in both directions. Every row tells the
     delivery that brought it.
     """
 
     KEYS = {"classes": "key", "titles": "text_id", "postings": "tok", "similar": "title_id"}
     SCHEMA = {
-        "classes": "key BIGINT, doi BOOLEAN, year INT, open BOOLEAN, first_id BIGINT, delivery INT",
+        "classes": "key BIGINT, year INT, open BOOLEAN, first_id BIGINT, delivery INT",
         "titles": "text_id BIGINT, title_id BIGINT, words STRING, open BOOLEAN, delivery INT",
-        "postings": "tok BIGINT, text_id BIGINT, length INT, open BOOLEAN, delivery INT",
+        "postings": "tok BIGINT, text_id BIGINT, length INT, sig BIGINT, open BOOLEAN, delivery INT",
         "similar": "title_id BIGINT, other BIGINT, delivery INT",
     }
 
@@ -254,8 +272,8 @@ class AcceptedIndex:
             self.sketch = word_sketch(normal)
             write_text(self.spark, f"{self.folder}/sketch.json", json.dumps(self.sketch))
         self.delivery += 1
-        of_title = F.struct(F.col("title_id").alias("key"), F.lit(False).alias("doi"), "year", "open")
-        of_doi = F.struct(F.col("dk").alias("key"), F.lit(True).alias("doi"), F.lit(-1).alias("year"), F.lit(False).alias("open"))
+        of_title = F.struct(F.col("title_id").alias("key"), "year", "open")
+        of_doi = F.struct(F.col("dk").alias("key"), F.lit(-1).alias("year"), F.lit(True).alias("open"))
         grouped = normal.groupBy("dk", "open", "title_id", "year").agg(F.min("raw_id").alias("first_id"))
         keyed = grouped.select(F.explode(F.array(of_title, of_doi)).alias("k"), "first_id").where("k.key is not null")
         classes = self._append("classes", keyed.select("k.*", "first_id"))
@@ -276,11 +294,12 @@ class AcceptedIndex:
 
     def _similar(self, posted: DataFrame) -> DataFrame:
         """(title_id, other), in both directions: titles of which one was posted now that differ by slips only; one of the two is open."""
-        now = posted.select("tok", F.col("text_id").alias("a"), F.col("length").alias("la"), F.col("open").alias("oa"))
-        ever = self.read("postings").select("tok", F.col("text_id").alias("b"), F.col("length").alias("lb"), F.col("open").alias("ob"), (F.col("delivery") == self.delivery).alias("fb"))
+        now = posted.select("tok", F.col("text_id").alias("a"), F.col("length").alias("la"), F.col("sig").alias("sa"), F.col("open").alias("oa"))
+        ever = self.read("postings").select("tok", F.col("text_id").alias("b"), F.col("length").alias("lb"), F.col("sig").alias("sb"), F.col("open").alias("ob"), (F.col("delivery") == self.delivery).alias("fb"))
         # Two titles posted now meet twice, once from either side; one is enough.
         near = (F.col("oa") | F.col("ob")) & (F.abs(F.col("la") - F.col("lb")) <= LENGTH_GAP) & F.when(F.col("fb"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-        pairs = now.join(ever, "tok").where(near).select("a", "b").distinct()
+        # A bucket of the delivery's postings is held; the history's go by it unsorted.
+        pairs = ever.join(now.hint("shuffle_hash"), "tok").where(near & (_groups_apart("sa", "sb") <= MOST_DAMAGED)).select("a", "b").distinct()
         words = self.read("titles")
         both = pairs.join(words.select(F.col("text_id").alias("a"), F.col("title_id").alias("ta"), F.col("words").alias("wa")), "a")
         both = both.join(words.select(F.col("text_id").alias("b"), F.col("title_id").alias("tb"), F.col("words").alias("wb")), "b").where("ta <> tb")
@@ -300,19 +319,15 @@ class AcceptedIndex:
         without a DOI of its own has them; rows of the same or a similar title and a
         matching year go there. All of a place are linked to its first.
         """
-        held, similar = self.read("classes"), self.read("similar").select("title_id", "other")
-        came = classes.select("key", "doi").distinct()
-        titles = came.where("not doi").select(F.col("key").alias("title_id"))
-        touched = titles.unionByName(titles.join(similar, "title_id").select(F.col("other").alias("title_id"))).distinct()
-        others = touched.join(similar, "title_id").select(F.col("title_id").alias("place"), F.col("other").alias("key"))
-        meets = touched.select(F.col("title_id").alias("place"), F.col("title_id").alias("key")).unionByName(others).distinct()
-        named = held.where("not doi").select("key", "year", "open", "first_id")
-        places = touched.withColumnRenamed("title_id", "key").join(named.where("open"), "key").select(F.col("key").alias("place"), F.col("year").alias("at")).distinct()
+        held, similar = self.read("classes").drop("delivery"), self.read("similar").select(F.col("title_id").alias("key"), F.col("other").alias("met"))
+        came = classes.select("key").distinct()
+        touched = came.unionByName(came.join(similar, "key").select(F.col("met").alias("key"))).distinct()
+        meets = touched.select("key", F.col("key").alias("met")).unionByName(touched.join(similar, "key")).select(F.col("key").alias("place"), F.col("met").alias("key"))
+        guests = meets.join(held, "key")
+        places = guests.where("open and place = key").select("place", F.col("year").alias("at")).distinct()
         in_year = (F.col("year") == -1) | (F.col("at") == -1) | (F.abs(F.col("year") - F.col("at")) <= YEAR_GAP)
-        by_title = meets.join(named.drop("open"), "key").join(places, "place").where(in_year).select("place", "at", "first_id")
-        by_doi = came.where("doi").select("key").join(held.where("doi").select("key", "first_id"), "key").select(F.col("key").alias("place"), F.lit(-2).alias("at"), "first_id")
-        visits = by_title.unionByName(by_doi).distinct()
-        heads = visits.groupBy("place", "at").agg(F.min("first_id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        visits = guests.join(places, "place").where(in_year).select("place", "at", "first_id")
+        heads = visits.groupBy("place", "at").agg(F.min("first_id").alias("dst"), F.max("first_id").alias("last")).where("dst <> last").drop("last")
         met = visits.join(heads, ["place", "at"]).select(F.col("first_id").alias("src"), "dst")
         cid = F.xxhash64("dk", "open", F.coalesce("title_id", F.lit(0)), "year")
         firsts = normal.groupBy(cid.alias("cid")).agg(F.min("raw_id").alias("dst"), F.max("raw_id").alias("last")).where("dst <> last").drop("last")

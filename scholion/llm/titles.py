@@ -11,6 +11,8 @@ from scholion.llm.lookalike import SAME_GLYPH, invisible
 MARKUP = re.compile(r"<[^<>]*>|\\[a-zA-Z]+\s*(?=\{)|[{}$]")
 #: Letters from which a word is a text without spaces.
 LONG = 64
+#: Words that slips may damage in a long title.
+MOST_DAMAGED = 3
 SERIES = re.compile(r"^(?:[ivx]+|.*\d.*)$")
 
 
@@ -77,7 +79,7 @@ def slips_allowed(word: str, last: bool) -> int:
 
 def damaged_words(n: int) -> int:
     """Words of a title of n that slips may have damaged: three, of short titles fewer."""
-    return 3 if n > 5 else 2 if n > 3 else 1
+    return MOST_DAMAGED if n > 5 else 2 if n > 3 else 1
 
 
 def shortened_forms(word: str, most: int) -> set[str]:
