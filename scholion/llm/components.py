@@ -2,17 +2,62 @@
 
 Every round rewrites the edge list by two distributed joins until it no longer
 changes; each record then hangs directly on the least identifier of its component.
+Before the first round every task replaces its own edges by stars, which connect the
+same records with fewer edges; chains within a task need no rounds then.
 A group of any size is only ever aggregated (partially, before the shuffle) or
 joined; adaptive execution splits a key whose rows outgrow a partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scholion.runtime import drop, materialize
 
 
+#: Edges that a task contracts at a time.
+CONTRACTED = 200_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Stars (u, v), u > v, that connect what the edges of each task connect, in blocks of bounded size."""
+    kind = dict(edges.dtypes)["u"]
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):  # noqa: ANN001, ANN202
+            root = x
+            while (up := parent.get(root, root)) != root:
+                root = up
+            while (up := parent.get(x, x)) != root:
+                parent[x], x = root, up
+            return root
+
+        def settled(schema: pa.Schema) -> pa.RecordBatch:
+            moved = [x for x in parent if find(x) != x]
+            out = pa.RecordBatch.from_arrays([pa.array(moved, schema.types[0]), pa.array([find(x) for x in moved], schema.types[1])], names=["u", "v"])
+            parent.clear()
+            return out
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(u), find(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > CONTRACTED:
+                yield settled(schema)
+        if parent:
+            yield settled(schema)
+
+    return edges.mapInArrow(stars, f"u {kind}, v {kind}")
+
+
 def _minima(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -49,7 +94,7 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     with the logarithm of the longest chain, so 60 cover any real input).
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
-    current = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    current = materialize(contracted(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct(), "edges")
     before = _state(current)
     for _ in range(max_rounds):
         if before[0] == 0:

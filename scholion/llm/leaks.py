@@ -3,8 +3,9 @@
 Every window of item size in a document and in an item gets a SimHash of its words.
 Multi-index Hamming search finds all item windows within the radius: cut into one block
 more than the radius, two such fingerprints agree in a block. Exact similarity of the
-windows' weighted shingles then decides. The items are a stated, bounded query set: they
-are taken in blocks of bounded size, each of which passes over all documents.
+windows' weighted shingles then verifies the candidates, and what is asked beyond that
+(equal words in order) is checked on those. Items whose windows fit a stated bound are
+searched in memory, in one pass over the documents; more are joined by Hamming block.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ WINDOW = 12
 SHINGLE = 5
 RADIUS = 3
 BITS = 64
-#: Items that one pass holds in memory; more are taken in further passes.
-ITEMS_A_PASS = 5_000
+#: Similarity of weighted shingles from which a window is a near copy.
+SIMILAR = 0.8
+#: Letters of items up to which their windows are held in memory.
+LETTERS_HELD = 20_000_000
 
 WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
-MARKUP = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>|\\[a-zA-Z]+\s*(?=\{)|[{}]|[\p{Cf}]|[*_]{1,3}(?=\w)|(?<=\w)[*_]{1,3}")
+MARKUP = regex.compile(r"</?[a-zA-Z][^<>]*>|\\[a-zA-Z]+\s*(?=\{)|[{}]|[\p{Cf}]|[*_]{1,3}(?=\w)|(?<=\w)[*_]{1,3}")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -122,57 +125,108 @@ class ItemIndex:
         return np.concatenate(left), np.concatenate(right)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, similarity: float = 1.0, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id): documents holding ``window`` consecutive words of an item, each pair once.
-
-    With ``similarity`` 1 the words must be the same in order; below it, a window's
-    weighted shingles must be that similar to one of the item's (near copies within
-    the Hamming radius). Items and texts that are null, blank or shorter than the
-    window leak nothing; repeated rows count once. Windows of a document are compared
-    within their task only, whatever a source's share of all rows.
+def _judged(here: list[str], there: list[str], similarity: float) -> tuple[bool, bool]:
+    """Whether two windows are near copies, and whether they are equal."""
+    equal = here == there
+    return equal or weighted_similarity(here, there) >= similarity, equal
+
+
+def _texts(keys: list, texts: list, window: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Blocks of documents as (words, place of each word's document); those too short for a window are left out."""
+    at = 0
+    while at < len(texts):
+        words: list[str] = []
+        owner: list[int] = []
+        while at < len(texts) and (not words or len(words) < 100_000):
+            own = words_of(texts[at]) if keys[at] is not None else []
+            if len(own) >= window:
+                words += own
+                owner += [at] * len(own)
+            at += 1
+        if words:
+            yield words, np.array(owner)
+
+
+def near_copies(documents: DataFrame, items: DataFrame, similarity: float = SIMILAR, window: int = WINDOW, held: int = LETTERS_HELD) -> DataFrame:
+    """(doc_id, item_id, equal): documents with a window that is a near copy of one of an item, each pair once.
+
+    Candidates are all windows whose fingerprints are within the radius; weighted
+    shingles of at least ``similarity`` make them near copies, and ``equal`` tells
+    whether some window has the item's very words in order. Items and texts that are
+    null, blank or shorter than the window leak nothing; repeated rows count once.
+    Windows of a document are compared within their task, whatever a source's share of
+    all rows, unless the items have more than ``held`` letters and are joined instead.
     """
-    keys = items.where("item_id is not null").select("item_id", "text").distinct()
-    passes = max(1, -(-keys.count() // ITEMS_A_PASS))
+    keys = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    if (keys.agg(F.sum(F.length("text"))).first()[0] or 0) > held:
+        return _joined_copies(documents, keys, similarity, window)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    index = documents.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in keys.collect()], window))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashes = index.value, _Hashes()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            found: dict[tuple, bool] = {}
+            for words, docs in _texts(ids, batch.column(1).to_pylist(), window):
+                if not len(known.prints):
+                    continue
+                prints = fingerprints(np.array([hashes[w] for w in words], np.uint64), window)
+                whole = docs[: len(prints)] == docs[window - 1 :]
+                place, item = known.within_radius(prints)
+                keep = whole[place]
+                for p, i in zip(place[keep].tolist(), item[keep].tolist()):
+                    pair = (ids[docs[p]], known.owner[i])
+                    if not found.get(pair):
+                        near, equal = _judged(words[p : p + window], known.words[i], similarity)
+                        if near:
+                            found[pair] = equal
+            rows = list(found)
+            arrays = [pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([found[r] for r in rows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "equal"])
+
+    hits = documents.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id bigint, equal boolean")
+    return hits.groupBy("doc_id", "item_id").agg(F.bool_or("equal").alias("equal"))
+
+
+def _windows(frame: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, block, part, print, words): every window under each of the Hamming blocks of its fingerprint."""
+    kind = frame.schema[key].dataType.simpleString()
+    width = BITS // (RADIUS + 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for words, docs in _texts(ids, batch.column(1).to_pylist(), window):
+                prints = fingerprints(np.array([hashes[w] for w in words], np.uint64), window)
+                at = np.flatnonzero(docs[: len(prints)] == docs[window - 1 :])
+                texts = [" ".join(words[p : p + window]) for p in at.tolist()]
+                arrays = [pa.array([ids[i] for i in docs[at].tolist()], batch.column(0).type), pa.array(prints[at].view(np.int64)), pa.array(texts)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "print", "words"])
+
+    made = frame.select(key, "text").mapInArrow(cut, f"`{key}` {kind}, print bigint, words string").distinct()
+    blocks = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("print", b * width).bitwiseAND((1 << width) - 1).alias("part")) for b in range(RADIUS + 1)])
+    return made.select(key, "print", "words", F.explode(blocks).alias("x")).select(key, "x.block", "x.part", "print", "words")
+
+
+def _joined_copies(documents: DataFrame, items: DataFrame, similarity: float, window: int) -> DataFrame:
+    """The same by a join of the windows' Hamming blocks, for items that no task can hold."""
+    a, b = _windows(documents, "doc_id", window), _windows(items, "item_id", window)
+    b = b.select("item_id", "block", "part", F.col("print").alias("other"), F.col("words").alias("their"))
+    close = a.join(b, ["block", "part"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= RADIUS)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    out = None
-    for k in range(passes):
-        block = [(r["item_id"], r["text"]) for r in keys.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]
-        index = documents.sparkSession.sparkContext.broadcast(ItemIndex(block, window))
-
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            known, hashes = index.value, _Hashes()
-            for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found: set = set()
-                at = 0
-                while at < len(texts):
-                    words: list[str] = []
-                    owner: list[int] = []
-                    while at < len(texts) and (not words or len(words) < 100_000):
-                        own = words_of(texts[at])
-                        if len(own) >= window:
-                            words += own
-                            owner += [at] * len(own)
-                        at += 1
-                    if not words or not len(known.prints):
-                        continue
-                    docs = np.array(owner)
-                    prints = fingerprints(np.array([hashes[w] for w in words], np.uint64), window)
-                    whole = docs[: len(prints)] == docs[window - 1 :]
-                    place, item = known.within_radius(prints)
-                    keep = whole[place]
-                    for p, i in zip(place[keep].tolist(), item[keep].tolist()):
-                        pair = (keys[docs[p]], known.owner[i])
-                        if pair in found or pair[0] is None:
-                            continue
-                        here = words[p : p + window]
-                        if here == known.words[i] or similarity < 1 and weighted_similarity(here, known.words[i]) >= similarity:
-                            found.add(pair)
-                rows = list(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "item_id"]
-                )
-
-        part = documents.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = [_judged(x.split(), y.split(), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            near = pa.array([j[0] for j in judged], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array([j[1] for j in judged], pa.bool_()).filter(near)], names=["doc_id", "item_id", "equal"])
+
+    pairs = close.select("doc_id", "item_id", "words", "their").distinct()
+    return pairs.mapInArrow(verify, f"doc_id {kind}, item_id bigint, equal boolean").groupBy("doc_id", "item_id").agg(F.bool_or("equal").alias("equal"))
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, item_id): of the near copies those with ``window`` consecutive words of the item."""
+    return near_copies(documents, items, SIMILAR, window).where("equal").select("doc_id", "item_id")

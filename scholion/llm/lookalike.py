@@ -1,10 +1,12 @@
 """Problem 3: visually identical text with different characters.
 
-Look-alike classes are the transitive closure, by union-find, of equalities between
-strings and code points: compatibility and canonical decompositions (by Unicode's own
-rules), kinds of space, hyphen look-alikes, and letters of other scripts with the same
-glyph. A class is represented by its member most frequent in the corpus; text is
-rewritten greedily (leftmost, longest) by an Aho-Corasick automaton over all members.
+Every text is first brought to its canonical decomposition, marks in canonical order, so
+that only letters and marks are left to compare. Look-alike classes are the transitive
+closure, by union-find, of equalities between strings and code points: compatibility
+decompositions (by Unicode's own rules), kinds of space, hyphen look-alikes, and letters
+of other scripts with the same glyph. A class is represented by its member most frequent
+in the corpus; text is rewritten greedily (leftmost, longest) by an Aho-Corasick automaton
+over all members, until nothing changes.
 """
 
 from __future__ import annotations
@@ -25,14 +27,17 @@ SAME_GLYPH = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ɡ": "g", "ɑ": "a",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     "Օ": "O", "Տ": "S", "Ս": "U", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j",
 }
 # Hyphens of one look (dashes of other lengths stay apart).
 HYPHENS = "-‐‑﹣－"
 
 
-# Unicode's decomposition tags that keep a character's look but for width or style.
-LIKE_TAGS = ("", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>")
+# Unicode's decomposition tags that keep a character's look but for width, style or the place in a word.
+LIKE_TAGS = ("", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 
 
 def plain(char: str) -> str:
@@ -71,41 +76,30 @@ class Classes:
 
 
 def build_rewrites(counts: dict[str, int]) -> dict[str, str]:
-    """member -> representative for the code points of a corpus, counted in ``counts``."""
+    """member -> representative for the code points of a corpus, counted in ``counts``; both canonically decomposed."""
     classes = Classes()
-    alphabet = set(counts) | set(SAME_GLYPH) | set(SAME_GLYPH.values())
-    for char in sorted(alphabet):
-        wide = plain(char)
+    seen: Counter[str] = Counter()
+    for char, n in counts.items():
+        for part in unicodedata.normalize("NFD", char):
+            seen[part] += n
+    for char in sorted(set(seen) | set(counts) | set(SAME_GLYPH) | set(SAME_GLYPH.values())):
+        own, wide = unicodedata.normalize("NFD", char), unicodedata.normalize("NFD", plain(char))
         if char.isspace() or wide.isspace():
-            classes.union(char, " ")
+            classes.union(own, " ")
         elif invisible(char):
-            classes.union(char, "")
+            classes.union(own, "")
         elif char in HYPHENS:
-            classes.union(char, "-")
-        elif wide != char and wide:
-            classes.union(char, wide)
+            classes.union(own, "-")
+        elif wide != own and wide:
+            classes.union(own, wide)
         if char in SAME_GLYPH:
             classes.union(char, SAME_GLYPH[char])
-    same = {root: [m for m in items if len(m) == 1] for root, items in classes.members().items()}
-    for char in sorted(alphabet):
-        parts = unicodedata.normalize("NFD", char)
-        if len(parts) > 1 and not unicodedata.combining(parts[0]) and all(map(unicodedata.combining, parts[1:])):
-            for base in {parts[0], *same.get(classes.find(parts[0]), [])}:
-                classes.union(base + parts[1:], char)
-                classes.union(unicodedata.normalize("NFC", base + parts[1:]), char)
-    # A combining mark in the corpus joins any base letter whose composed form exists.
-    for mark in sorted(c for c in counts if unicodedata.combining(c)):
-        for base in sorted(alphabet | set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
-            rep = SAME_GLYPH.get(base, base)
-            whole = unicodedata.normalize("NFC", rep + mark)
-            if len(whole) == 1 and len(rep) == 1:
-                classes.union(base + mark, whole)
     rewrites = {}
     for items in classes.members().values():
         # The empty string and the space stand for their own classes; else the most frequent member, ties by code points.
         best = next((x for x in ("", " ") if x in items), None)
         if best is None:
-            best = min(items, key=lambda x: (-min((counts.get(c, 0) for c in x), default=0), len(x), x))
+            best = min(items, key=lambda x: (-min((seen.get(c, 0) for c in x), default=0), len(x), x))
         rewrites |= {x: best for x in items if x and x != best}
     return rewrites
 
@@ -124,19 +118,23 @@ class Rewriter:
 
     def once(self, text: str) -> str:
         out, at = [], 0
-        for end, (length, best) in self.automaton.iter_long(text):
-            out += text[at : end - length + 1], best
-            at = end + 1
-        return "".join(out) + text[at:] if at else text
+        if not self.empty:
+            for end, (length, best) in self.automaton.iter_long(text):
+                out += text[at : end - length + 1], best
+                at = end + 1
+        return unicodedata.normalize("NFD", "".join(out) + text[at:] if at else text)
 
     def __call__(self, text: str) -> str:
         """Passes follow one another until the text is stable (removing a mark may join others)."""
-        if self.empty or text.isascii() and not self.ascii:
+        if text.isascii() and not self.ascii:
             return text
-        for _ in range(8):
-            new = self.once(text)
-            if new == text:
-                break
+        text = unicodedata.normalize("NFD", text)
+        passed: list[str] = []
+        while (new := self.once(text)) != text:
+            if new in passed:
+                # Should representatives rewrite one another, the least of the circle stands for it.
+                return min(passed[passed.index(new) :])
+            passed.append(new)
             text = new
         return text
 

@@ -26,6 +26,14 @@ NICKNAMES = {
     "becky": "rebecca", "becca": "rebecca", "debbie": "deborah", "deb": "deborah", "barb": "barbara", "cathy": "catherine", "cindy": "cynthia", "judy": "judith", "mandy": "amanda", "molly": "mary", "polly": "mary", "mamie": "mary", "nan": "ann", "annie": "ann", "nancy": "ann", "sally": "sarah", "sadie": "sarah", "terry": "theresa", "tina": "christina",
     "dima": "dmitri", "mitya": "dmitri", "katya": "ekaterina", "kolya": "nikolai", "tanya": "tatiana", "olya": "olga", "vanya": "ivan", "zhenya": "evgeny", "seb": "sebastian", "max": "maximilian", "hans": "johannes", "jo": "johannes", "hannes": "johannes", "pepe": "jose", "paco": "francisco", "pancho": "francisco", "lola": "dolores", "bea": "beatriz", "gigi": "luigi", "beppe": "giuseppe", "peppe": "giuseppe", "uli": "ulrich", "ulla": "ursula", "uschi": "ursula",
 }
+# Short forms that stand for several names; which one is told by who is there.
+SHARED_NICKNAMES = {
+    "alex": ("alexander", "alexandra"), "sasha": ("alexander", "alexandra"), "sandy": ("alexander", "sandra"), "chris": ("christopher", "christine", "christina"), "kit": ("christopher", "katherine"),
+    "sam": ("samuel", "samantha"), "pat": ("patricia", "patrick"), "terry": ("theresa", "terence"), "bert": ("robert", "albert"), "al": ("albert", "alan"), "ed": ("edward", "edwin"), "ted": ("edward", "theodore"),
+    "nicky": ("nicholas", "nicole"), "nico": ("nicholas", "nicole"), "jo": ("johannes", "joanna", "josephine"), "max": ("maximilian", "maxine"), "ray": ("raymond", "rachel"), "andy": ("andrew", "andreas"), "toni": ("anthony", "antonia"), "vic": ("victoria", "victor"),
+}
+# Legal forms that end an organisation's name.
+LEGAL_FORMS = {"inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "gmbh", "plc", "company"}
 
 
 @lru_cache(maxsize=200_000)
@@ -139,6 +147,9 @@ def forms(name: str | None) -> tuple[str | None, list[str], bool, list[str]]:
     The full key is the unordered pair of canonical first name and surname, so token
     order does not matter where it is unknown; an initial key is initial and surname.
     """
+    body = organisation(name)
+    if body:
+        return f"organisation|{body}", [], False, []
     parsed = parse(name)
     if parsed is None or not parsed.given:
         return None, [], False, []
@@ -154,6 +165,24 @@ def forms(name: str | None) -> tuple[str | None, list[str], bool, list[str]]:
     return "|".join(sorted((given, surname))), sorted(keys), False, middle
 
 
+def organisation(name: str | None) -> str | None:
+    """The words of an organisation's name without the legal form that it ends in; None for other names."""
+    words = [w for w in (fold(t) for t in (look(name) if name else "").replace(",", " ").split()) if w]
+    end = len(words)
+    while end and words[end - 1] in LEGAL_FORMS:
+        end -= 1
+    return plain("".join(words[:end])) if 0 < end < len(words) else None
+
+
+def shared_keys(name: str | None) -> list[str]:
+    """Full keys of all the names that a shared short form may stand for, the usual one first; none for other names."""
+    parsed = parse(name)
+    if parsed is None or not parsed.given or organisation(name):
+        return []
+    surname = plain("".join(parsed.surname))
+    return ["|".join(sorted((plain(given), surname))) for given in SHARED_NICKNAMES.get(parsed.given[0], ())]
+
+
 def shortened(name: str | None) -> list[str]:
     """Full keys of the ways a name is cut or taken apart: particles or the second half of a double
     surname left out, a double surname without its hyphen (its first half then looks like a middle name)."""

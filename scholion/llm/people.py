@@ -4,7 +4,9 @@ Every spelling is rewritten by nickname, initial, title, token-order, accent and
 rules into canonical forms; the forms are exploded and equi-joined. A form counts by its
 rarity: a full form links outright, a form with a letter dropped after a check of the
 slips, and an initial form only where it leads to a single person, alone or together
-with an affiliation.
+with an affiliation. Organisations are known by their legal forms, which say nothing of
+which one it is. ``people`` gives every name its person; pairs are only written out where
+a query asks for them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm.components import connected_components
-from scholion.llm.names import affiliation_stem, dropped, forms, look, shortened
+from scholion.llm.names import affiliation_stem, dropped, forms, look, shared_keys, shortened
 from scholion.llm.titles import slips
 from scholion.runtime import materialize
 
@@ -23,18 +25,18 @@ SLIPS = 2
 
 
 def _spelled(names: DataFrame) -> DataFrame:
-    """(name, look, spelling, full, initial_keys, short, cut): the canonical forms of distinct names."""
+    """(name, look, spelling, full, initial_keys, short, cut, shared): the canonical forms of distinct names."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             found = [forms(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([look(x) for x in texts]), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found]), pa.array([shortened(x) for x in texts], pa.list_(pa.string()))],
-                names=["name", "look", "full", "initial_keys", "short", "cut"],
+                [batch.column(0), pa.array([look(x) for x in texts]), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found]), pa.array([shortened(x) for x in texts], pa.list_(pa.string())), pa.array([shared_keys(x) for x in texts], pa.list_(pa.string()))],
+                names=["name", "look", "full", "initial_keys", "short", "cut", "shared"],
             )
 
-    schema = "name string, look string, full string, initial_keys array<string>, short boolean, cut array<string>"
+    schema = "name string, look string, full string, initial_keys array<string>, short boolean, cut array<string>, shared array<string>"
     return names.mapInArrow(rewrite, schema).withColumn("spelling", F.xxhash64("look"))
 
 
@@ -65,11 +67,23 @@ def _slipped(keys: DataFrame) -> DataFrame:
     return pairs.mapInArrow(verify, "a string, b string")
 
 
+def _told_by_others(spellings: DataFrame) -> DataFrame:
+    """``spellings`` with the full key of a shared short form (Alex, Chris) set to the one of its names that others of
+    that surname bear; to the usual one where none is borne, and to none where several are."""
+    asked = spellings.where("size(shared) > 0").select("spelling", F.posexplode("shared").alias("place", "full"))
+    borne = spellings.where("size(shared) = 0").select("full").join(asked.select("full"), "full", "left_semi").distinct().withColumn("borne", F.lit(True))
+    told = asked.join(borne, "full", "left").groupBy("spelling").agg(F.count_if("borne").alias("n"), F.min_by("full", F.struct(F.col("borne").isNull(), "place")).alias("told"))
+    joined = spellings.join(told, "spelling", "left")
+    kept = F.when(F.col("n").isNull() | (F.size("shared") == 0), F.col("full")).when(F.col("n") < 2, F.col("told"))
+    return joined.withColumn("full", kept).drop("n", "told", "shared")
+
+
 def people(mentions: DataFrame, others: DataFrame) -> DataFrame:
     """(name, spelling, person): every distinct name of both tables and the person it means.
 
     ``mentions`` has (name, affiliation, orcid, openalex_id), ``others`` (name). Null
-    and blank names mean nobody; a name without a given name stands alone.
+    and blank names mean nobody; a name without a given name stands alone. Slips of a
+    full form are those that leave the two equal once each has lost at most one letter.
     """
     named = lambda frame: frame.where("name is not null and trim(name) <> ''")
     names = materialize(_spelled(named(mentions.select("name")).unionByName(named(others.select("name"))).distinct()), "names")
@@ -82,7 +96,8 @@ def people(mentions: DataFrame, others: DataFrame) -> DataFrame:
     told = named(mentions).select("name", "affiliation", "orcid", "openalex_id").distinct().mapInArrow(stems, "name string, stem string, orcid string, openalex_id string")
     told = materialize(told.join(names.select("name", "spelling"), "name").drop("name").distinct(), "told")
 
-    spellings = names.select("spelling", "full", "short", "initial_keys", "cut").dropDuplicates(["spelling"])
+    spellings = names.select("spelling", "full", "short", "initial_keys", "cut", "shared").dropDuplicates(["spelling"])
+    spellings = materialize(_told_by_others(spellings), "spellings")
     firsts = spellings.where("full is not null").groupBy("full").agg(F.min("spelling").alias("first"))
     by_full = spellings.join(firsts, "full").select(F.col("spelling").alias("src"), F.col("first").alias("dst"))
     firsts = materialize(firsts, "firsts")

@@ -29,9 +29,9 @@ EITHER = {"etc", "inc", "ltd", "corp", "co", "al", "comm", "a.m", "p.m", "u.s",
 MONTHS = {"januar", "jänner", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember", "jan", "feb", "apr", "jun", "jul", "aug", "sep", "sept", "okt", "nov", "dez"}
 # Particles that carry a Japanese quotation on, and verbs that attribute a Chinese one.
 CARRY_ON = ("と", "って", "との", "の", "など", "は", "を", "に", "が", "、", "，", "；", "：")
-SAYING = regex.compile(r"^[^。！？!?\n“「]{0,24}(道|说|說|写|寫|问|問|答|表示|认为|認為|指出|称|稱)[。！？!?]")
+SAYING = regex.compile(r"[^。！？!?\n“「]*(道|说|說|写|寫|问|問|答|表示|认为|認為|指出|称|稱)[。！？!?]")
 # Opening and closing quotation marks and brackets.
-PAIRED = r"“[^“”„\n]{0,600}”|„[^„“”\n]{0,600}[“”]|«[^«»]{0,600}»|‹[^‹›]{0,200}›|「[^「」]{0,600}」|『[^『』]{0,600}』|《[^《》]{0,200}》|\([^()]{0,600}\)|（[^（）]{0,600}）|\[[^\[\]\n]{0,300}\]|(?<![\w\"])\"[^\"\n]{1,400}\"(?!\w)"
+PAIRED = r"“[^“”„\n]*+”|„[^„“”\n]*+[“”]|«[^«»]*+»|‹[^‹›]*+›|「[^「」]*+」|『[^『』]*+』|《[^《》]*+》|\([^()]*+\)|（[^（）]*+）|\[[^\[\]\n]*+\]|(?<![\w\"])\"[^\"\n]++\"(?!\w)"
 
 BLOCK = regex.compile(r"(?:[^\S\n]*\n){2,}| +|[\f\v]+")
 LINE = regex.compile(r"[^\n \x85]+")
@@ -41,7 +41,7 @@ PAIRS = regex.compile(PAIRED)
 TERM = regex.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…‥]+")
 HARD = regex.compile(r"[\p{Sentence_Break=STerm}]")
 CLOSE = regex.compile(r"[\p{Pe}\p{Pf}\"'”’»›」』）\])]*(?:[   ][»›])?")
-WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}]+\.)*[\p{L}\p{M}]+$")
+WORD_BEFORE = regex.compile(r"(?r)(?:[\p{L}\p{M}]++\.)*[\p{L}\p{M}]++")
 NEXT = regex.compile(r"[\s]*")
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 UNUSUAL = regex.compile(r"\p{Ll}(?:-\p{L}|\p{Lu})")
@@ -89,7 +89,7 @@ def _stop_ends(text: str, start: int, dot: int, end: int, after: int, follow: in
     """Whether a full stop at ``dot`` ends a sentence, by the word before and what follows at ``follow``."""
     spaced = follow > after
     char = text[follow]
-    before = WORD_BEFORE.search(text, max(start, dot - 30), dot)
+    before = WORD_BEFORE.match(text, start, dot)
     word = before.group() if before else ""
     low = word.lower()
     nxt = NEXT_WORD.match(text, follow, end)
@@ -169,7 +169,7 @@ def _split(text: str, start: int, end: int, body: int) -> Iterator[tuple[int, in
             if text.startswith(CARRY_ON, follow) and text[close - 1] in "」』":
                 continue
             opened = pairs[k][0] if inside else None
-            if opened is not None and text[at:opened].strip() == "" and SAYING.match(text[follow : min(end, follow + 40)]):
+            if opened is not None and text[at:opened].strip() == "" and SAYING.match(text, follow, end):
                 continue
             if not hard and run.group()[-1] == "." and not inside and not _stop_ends(text, at, a, end, after, follow):
                 continue
