@@ -1,16 +1,20 @@
 """References to records that do not exist.
 
-State is kept per (target table kind, key): the references that wait for it or hang on
-it, and what is known of the key itself. New references probe the parents, arriving
-parents resolve waiting orphans, deletions reopen them; counts are taken per table and
-period from the state.
+State is kept per (target table kind, key): what is known of the key, the references
+that name it, and which of them are orphans now. New references probe the parents,
+arriving parents resolve waiting orphans, deletions reopen them; counts are taken per
+table and period from the state. Parents and references are only ever appended; what a
+step looks at again are the references of the keys that it changes.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scholion.runtime import materialize
+from scholion.runtime import drop, materialize, shared_dir
 
 # The outcomes of a reference.
 MISSING, DELETED, LATE = "missing", "deleted", "late"
@@ -72,48 +76,100 @@ def _known(arrivals: DataFrame) -> DataFrame:
     return arrivals.groupBy("space", "ref_id").agg(F.min("first_seen").alias("first_seen"), F.max("deleted_at").alias("deleted_at"))
 
 
+KEY = ["space", "ref_id"]
+
+
 class OrphanState:
-    """The parents known so far and the references that are not settled.
+    """The parents and references that have come so far, and in ``open`` the references that are orphans now.
 
-    ``advance`` takes what arrived since the last call, in any split: a reference whose
-    parent is present and not late is settled and leaves the state, unless the parent
-    may still be deleted: then it waits with the parent's key in ``settled`` and a
-    deletion reopens it. Both tables are keyed by (space, ref_id).
+    ``advance`` takes what arrived since the last call, in any split; whatever the split,
+    the orphans after it are the same.
     """
 
     def __init__(self) -> None:
-        self.known: DataFrame | None = None
+        self.parents: list[DataFrame] = []
+        self.references: list[DataFrame] = []
         self.open: DataFrame | None = None
-        self.settled: DataFrame | None = None
-
-    def advance(self, new_references: DataFrame, new_parents: DataFrame) -> DataFrame:
-        """Bring the state up to date; the orphans of now are returned and kept in ``open``."""
-        arrived = _known(new_parents)
-        known = arrived if self.known is None else _known(self.known.unionByName(arrived))
-        refs = new_references
-        if self.open is not None:
-            # Only waiting references, and settled ones whose parent changed, are looked at again.
-            reopened = self.settled.join(arrived.select("space", "ref_id"), ["space", "ref_id"], "left_semi")
-            kept = self.settled.join(arrived.select("space", "ref_id"), ["space", "ref_id"], "left_anti")
-            refs = refs.unionByName(self.open.drop("kind")).unionByName(reopened)
+
+    def advance(self, new_references: DataFrame, new_parents: DataFrame, stored: bool = False) -> DataFrame:
+        """Bring the state up to date; the orphans of now are returned and kept in ``open``.
+
+        What arrives is written to the state, unless it is ``stored`` where it can be read again.
+        """
+        arrived = new_parents if stored else materialize(_known(new_parents), "parents")
+        fresh = new_references if stored else materialize(new_references, "references")
+        touched = arrived.select(*KEY)
+        # Of the earlier references only those are judged again whose parent came, changed or went.
+        again = [r.join(touched, KEY, "left_semi") for r in self.references]
+        self.parents.append(arrived)
+        self.references.append(fresh)
+        asked = reduce(DataFrame.unionByName, [fresh, *again])
+        keys = asked.select(*KEY).distinct()
         # A parent without a mark of its own must still be told from none: there is one row for each known key.
-        probed = refs.join(known.withColumn("here", F.lit(True)), ["space", "ref_id"], "left")
+        known = _known(reduce(DataFrame.unionByName, self.parents).join(keys, KEY, "left_semi")).withColumn("here", F.lit(True))
         kind = (
             F.when(F.col("here").isNull(), MISSING)
             .when(F.col("deleted_at").isNotNull(), DELETED)
             .when(F.col("first_seen") > F.col("owner_updated").cast("timestamp_ntz"), LATE)
         )
-        judged = probed.withColumn("kind", kind).drop("here", "first_seen", "deleted_at")
-        if self.open is None and self.settled is None:
-            fresh_settled = judged.where("kind is null").drop("kind")
-            self.settled = fresh_settled
-        else:
-            self.settled = materialize(kept.unionByName(judged.where("kind is null").drop("kind")), "settled")
-        self.known = known
-        self.open = materialize(judged.where("kind is not null"), "orphans")
+        judged = asked.join(known, KEY, "left").withColumn("kind", kind).drop("here", "first_seen", "deleted_at").where("kind is not null")
+        before = self.open
+        if before is not None:
+            judged = judged.unionByName(before.join(touched, KEY, "left_anti"))
+        self.open = materialize(judged, "orphans")
+        if before is not None:
+            drop(before)
         return self.open
 
 
+def replay(references: DataFrame, parents: DataFrame, unit: str = "quarter", snapshots: bool = False) -> tuple[OrphanState, DataFrame | None]:
+    """The state after all periods, taken one by one in order, and, if asked for, (period, src_table, field, kind, orphans) after each.
+
+    References arrive with their owner's lists (owner_updated), parents when first seen,
+    deletions when they happen; what has no time is there from the start.
+    """
+    period = lambda c: F.date_trunc(unit, c).cast("date")
+    refs = references.withColumn("_at", period(F.col("owner_updated")))
+    # A deletion is an arrival of its own, at its own time.
+    never = F.lit(None).cast("timestamp_ntz")
+    came = parents.select(*KEY, "first_seen", never.alias("deleted_at"), period(F.col("first_seen")).alias("_at"))
+    went = parents.where("deleted_at is not null").select(*KEY, "first_seen", "deleted_at", period(F.col("deleted_at")).alias("_at"))
+    arrivals = came.unionByName(went).distinct()
+    # Both are laid out by period, so that a step reads its own.
+    refs, arrivals = (_by_period(frame) for frame in (refs, arrivals))
+    times = sorted({r[0] for f in (refs, arrivals) for r in f.select("_at").distinct().collect() if r[0]})
+    state, taken = OrphanState(), []
+    for number, at in enumerate(times):
+        now = F.col("_at") == F.lit(at)
+        due = (now | F.col("_at").isNull()) if number == 0 else now
+        # What came before is one scan of the earlier periods' folders.
+        earlier = (F.col("_at") < F.lit(at)) | F.col("_at").isNull()
+        if number:
+            state.references, state.parents = [refs.where(earlier).drop("_at")], [arrivals.where(earlier).drop("_at")]
+        state.advance(refs.where(due).drop("_at"), arrivals.where(due).drop("_at"), stored=True)
+        if snapshots:
+            taken.append(snapshot(state.open, at))
+    if not times:
+        state.advance(refs.drop("_at"), arrivals.drop("_at"), stored=True)
+        taken = [snapshot(state.open, None)] if snapshots else []
+    return state, reduce(DataFrame.unionByName, taken) if snapshots else None
+
+
+def _by_period(frame: DataFrame) -> DataFrame:
+    """``frame`` written with a folder for each value of ``_at``."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex[:12]}"
+    frame.write.partitionBy("_at").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def snapshot(orphans: DataFrame, at) -> DataFrame:  # noqa: ANN001
+    """(period, src_table, field, kind, orphans): how many orphans there are now."""
+    once = orphans.select("src_table", "field", "owner_id", "ref_id", "kind").distinct()
+    counted = once.groupBy("src_table", "field", "kind").agg(F.count(F.lit(1)).alias("orphans"))
+    return materialize(counted.select(F.lit(at).cast("date").alias("period"), "*"), "snapshot")
+
+
 def found(orphans: DataFrame) -> DataFrame:
     """(src_table, field, owner_id, ref_id, kind), each once."""
     return orphans.select("src_table", "field", "owner_id", "ref_id", "kind").distinct()

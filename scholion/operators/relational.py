@@ -246,3 +246,47 @@ def sequential_dedup(frame: DataFrame, keys: list[tuple[str, Column]], order: st
     held = frame.select(order, F.explode(pack).alias("x")).select(order, "x.n", "x.k")
     late = held.join(held.groupBy("n", "k").agg(F.min(order).alias("first")), ["n", "k"]).where(F.col(order) > F.col("first"))
     return frame.join(late.select(order).distinct(), order, "left_anti")
+
+
+def set_fields(target: DataFrame, updates: DataFrame, key: str, fields: dict[str, str], order: str | None = None, keep: bool = False) -> DataFrame:
+    """``target`` with fields overwritten from ``updates`` where a row's key has an update; other rows stay as they are.
+
+    ``fields`` maps a column of the target to one of the updates. Of several updates of a
+    key the last by ``order`` counts; keys that the target lacks are ignored, as are
+    null keys. With ``keep`` a null in the update leaves the old value.
+    """
+    columns = list(dict.fromkeys(fields.values()))
+    fresh = updates.where(F.col(key).isNotNull())
+    if order:
+        fresh = fresh.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_u"))
+    else:
+        fresh = fresh.select(key, F.struct(*columns).alias("_u"))
+    hit = F.col("_u").isNotNull()
+    value = lambda f, c: F.when(hit & (F.col(f"_u.{c}").isNotNull() if keep else F.lit(True)), F.col(f"_u.{c}"))
+    return target.join(fresh, key, "left").withColumns({f: (value(f, c).otherwise(F.col(f)) if f in target.columns else value(f, c)) for f, c in fields.items()}).drop("_u")
+
+
+def delete_keys(target: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``target`` without the rows of the given keys."""
+    return target.join(gone.select(key), key, "left_anti")
+
+
+def insert_new(target: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
+    """``target`` and the incoming rows whose key it lacks, the first of each key by ``order``; null keys are not inserted."""
+    fresh = first_wins(incoming.where(F.col(key).isNotNull()), [key], [F.col(order)])
+    return target.unionByName(fresh.join(target.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti"))
+
+
+def merge_groups(frame: DataFrame, group: str, ident: str, sets: list[str], firsts: list[str], maps: list[str]) -> DataFrame:
+    """One row per group under its least id: list columns as the sorted set of all items, scalars the first value there is by id, maps with the least id's entries first.
+
+    Lists are exploded and distinct before they meet, so a group's rows are never gathered beyond their distinct items.
+    """
+    base = frame.groupBy(group).agg(F.min(ident).alias(ident), F.count(F.lit(1)).alias("members"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ident))).alias(c) for c in firsts])
+    for c in sets:
+        items = frame.select(group, F.explode(c).alias("_i")).where("_i is not null").distinct().groupBy(group).agg(F.array_sort(F.collect_list("_i")).alias(c))
+        base = base.join(items, group, "left").withColumn(c, F.coalesce(c, F.array().cast(dict(frame.dtypes)[c])))
+    for c in maps:
+        entries = frame.select(group, ident, F.explode(c).alias("_k", "_v")).groupBy(group, "_k").agg(F.min_by("_v", ident).alias("_v"))
+        base = base.join(entries.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(c)), group, "left")
+    return base

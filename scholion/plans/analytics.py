@@ -98,10 +98,15 @@ def stub_exclusion_three_valued(spark, sf):
     return seeds.unionByName(stubs).where(~stub | T.has_value(F.col("title"))).select("point_id", stub.alias("is_stub"))
 
 
-@query("""SELECT raw_id, openalex_id IN (SELECT openalex_id FROM paper_responses WHERE openalex_id IS NOT NULL) AS known FROM raw_papers WHERE openalex_id IS NOT NULL""")
+@query("""WITH k AS (SELECT raw_id, batch_no, openalex_id, nullif(regexp_replace(lower(trim(doi)), '^(https?://[a-z.]*/)?(doi:\\s*)?', ''), '') AS d FROM raw_papers), c AS (SELECT * FROM k WHERE batch_no = 0)
+SELECT raw_id, coalesce(openalex_id IN (SELECT openalex_id FROM c WHERE openalex_id IS NOT NULL), false) AS by_work, coalesce(d IN (SELECT d FROM c WHERE d IS NOT NULL), false) AS by_doi FROM k WHERE batch_no > 0""")
 def exists_by_identifier(spark, sf):
-    known = table(spark, sf, "paper_responses").where("openalex_id is not null").select("openalex_id").distinct().withColumn("known", F.lit(True))
-    return raw(spark, sf).where("openalex_id is not null").select("raw_id", "openalex_id").join(known, "openalex_id", "left").select("raw_id", F.coalesce("known", F.lit(False)).alias("known"))
+    """For every work of the later batches whether the corpus (batch 0) has its work id, and its DOI."""
+    papers = raw(spark, sf).select("raw_id", "batch_no", "openalex_id", T.plain_doi(F.col("doi")).alias("d"))
+    corpus = papers.where("batch_no = 0")
+    known = lambda c, name: corpus.where(F.col(c).isNotNull()).select(c).distinct().withColumn(name, F.lit(True))
+    joined = papers.where("batch_no > 0").join(known("openalex_id", "by_work"), "openalex_id", "left").join(known("d", "by_doi"), "d", "left")
+    return joined.select("raw_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("by_work", "by_doi")])
 
 
 @query("""SELECT d.doc_id FROM documents d WHERE coalesce(trim(d.text), '') <> '' AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.plans import analytics, entities, graphs, orphans, retrieval, streams
+from scholion.plans import analytics, entities, graphs, lookups, orphans, retrieval, streams, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (analytics, entities, graphs, retrieval, streams, orphans)
+MODULES = (analytics, entities, lookups, writers, graphs, retrieval, streams, orphans)
 
 
 def queries() -> dict[str, Query]:

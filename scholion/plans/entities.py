@@ -122,19 +122,20 @@ def structured_text(spark, sf):
 _WORKS = "SELECT raw_id, nullif(trim(openalex_id), '') AS k FROM raw_papers"
 
 
-@query(f"""WITH p AS (SELECT id, {_DOI.format('doi')} AS d, nullif(trim(openalex_id), '') AS w, {_TITLE.format('title')} AS t FROM (SELECT DISTINCT id, doi, openalex_id, title FROM paper_responses)),
-r AS (SELECT raw_id, {_DOI.format('doi')} AS d, nullif(trim(openalex_id), '') AS w, {_TITLE.format('title')} AS t FROM raw_papers),
-m AS (SELECT id, 0 AS p, min(raw_id) AS raw_id FROM p JOIN r ON p.d = r.d GROUP BY id UNION ALL SELECT id, 1, min(raw_id) FROM p JOIN r ON p.w = r.w GROUP BY id UNION ALL SELECT id, 2, min(raw_id) FROM p JOIN r ON p.t = r.t AND p.t <> '' GROUP BY id)
-SELECT id, raw_id, (['doi', 'work', 'title'])[p + 1] AS matched_by FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, raw_id) AS n FROM m) WHERE n = 1""")
+@query(f"""WITH k AS (SELECT raw_id, batch_no, {_DOI.format('doi')} AS d, nullif(trim(openalex_id), '') AS w, {_TITLE.format('title')} AS t FROM raw_papers), c AS (SELECT * FROM k WHERE batch_no = 0), n AS (SELECT * FROM k WHERE batch_no > 0),
+m AS (SELECT n.raw_id, 0 AS p, min(c.raw_id) AS corpus_id FROM n JOIN c ON n.d = c.d GROUP BY n.raw_id UNION ALL SELECT n.raw_id, 1, min(c.raw_id) FROM n JOIN c ON n.w = c.w GROUP BY n.raw_id UNION ALL SELECT n.raw_id, 2, min(c.raw_id) FROM n JOIN c ON n.t = c.t AND n.t <> '' GROUP BY n.raw_id)
+SELECT raw_id, corpus_id, (['doi', 'work', 'title'])[p + 1] AS matched_by FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY p, corpus_id) AS n FROM m) WHERE n = 1""")
 def prioritized_match(spark, sf):
-    papers = table(spark, sf, "paper_responses").select("id", "doi", "openalex_id", "title").distinct()
-    raws = table(spark, sf, "raw_papers").select("raw_id", F.col("doi").alias("rdoi"), F.col("openalex_id").alias("rwork"), F.col("title").alias("rtitle"))
+    """Works of the later batches with the record of the corpus (batch 0) that their DOI, work id or title finds first."""
+    papers = table(spark, sf, "raw_papers")
+    works = papers.where("batch_no > 0").select("raw_id", "doi", "openalex_id", "title")
+    corpus = papers.where("batch_no = 0").select(F.col("raw_id").alias("corpus_id"), F.col("doi").alias("rdoi"), F.col("openalex_id").alias("rwork"), F.col("title").alias("rtitle"))
     keys = [
         ("doi", T.plain_doi(F.col("doi")), T.plain_doi(F.col("rdoi"))),
         ("work", F.nullif(F.trim("openalex_id"), F.lit("")), F.nullif(F.trim("rwork"), F.lit(""))),
         ("title", T.normalize_title(F.col("title")), T.normalize_title(F.col("rtitle"))),
     ]
-    return R.prioritized_match(papers, raws, keys, "id", "raw_id")
+    return R.prioritized_match(works, corpus, keys, "raw_id", "corpus_id")
 
 
 @query(f"""WITH s AS (SELECT point_id, {_TITLE.format('payload.title')} AS t, payload.year AS y, lower(list_last(regexp_split_to_array(trim(payload.authors[1].display_name), '\\s+'))) AS a FROM seed_stubs),
@@ -147,11 +148,12 @@ def title_corroboration_match(spark, sf):
     return stubs.join(raws, "t").where(F.coalesce(sure, F.lit(False))).groupBy("point_id").agg(F.min("raw_id").alias("raw_id"))
 
 
-@query(f"""SELECT raw_id FROM raw_papers r WHERE NOT EXISTS (SELECT 1 FROM paper_responses p WHERE p.openalex_id = r.openalex_id) AND NOT EXISTS (SELECT 1 FROM paper_responses p WHERE {_DOI.format('p.doi')} = {_DOI.format('r.doi')})""")
+@query(f"""WITH c AS (SELECT openalex_id, {_DOI.format('doi')} AS d FROM raw_papers WHERE batch_no = 0) SELECT raw_id FROM raw_papers r WHERE batch_no > 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.openalex_id = r.openalex_id) AND NOT EXISTS (SELECT 1 FROM c WHERE c.d = {_DOI.format('r.doi')})""")
 def anti_join_gaps(spark, sf):
-    papers = table(spark, sf, "paper_responses")
-    raws = table(spark, sf, "raw_papers").select("raw_id", "openalex_id", T.plain_doi(F.col("doi")).alias("d"))
-    return raws.join(papers.select("openalex_id"), "openalex_id", "left_anti").join(papers.select(T.plain_doi(F.col("doi")).alias("d")), "d", "left_anti").select("raw_id")
+    """Works of the later batches that the corpus (batch 0) has neither by work id nor by DOI."""
+    papers = table(spark, sf, "raw_papers").select("raw_id", "batch_no", "openalex_id", T.plain_doi(F.col("doi")).alias("d"))
+    corpus = papers.where("batch_no = 0")
+    return papers.where("batch_no > 0").join(corpus.select("openalex_id"), "openalex_id", "left_anti").join(corpus.select("d"), "d", "left_anti").select("raw_id")
 
 
 @query(f"""WITH n AS (SELECT 'W' || regexp_extract(upper(ref), 'W([0-9]+)', 1) AS work, count(DISTINCT id) AS citers FROM (SELECT point_id AS id, unnest(payload.referenced_works) AS ref FROM seed_papers) WHERE regexp_matches(upper(trim(ref)), 'W[0-9]+$') GROUP BY 1)
@@ -217,17 +219,18 @@ def tier_retrofit(spark, sf):
 
 
 # Merges
-_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY openalex_id ORDER BY raw_id) AS n FROM raw_papers WHERE openalex_id IS NOT NULL) WHERE n = 1"
+_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY openalex_id ORDER BY raw_id) AS n FROM raw_papers WHERE openalex_id IS NOT NULL AND batch_no > 0) WHERE n = 1"
 
 
-@query(f"""WITH u AS ({_LATEST}) SELECT p.id, p.fetched_at, CASE WHEN coalesce(trim(p.abstract), '') = '' AND coalesce(trim(u.abstract), '') <> '' THEN u.abstract ELSE p.abstract END AS abstract, CASE WHEN coalesce(trim(p.doi), '') = '' AND coalesce(trim(u.doi), '') <> '' THEN u.doi ELSE p.doi END AS doi,
+@query(f"""WITH u AS ({_LATEST}) SELECT p.raw_id, CASE WHEN coalesce(trim(p.abstract), '') = '' AND coalesce(trim(u.abstract), '') <> '' THEN u.abstract ELSE p.abstract END AS abstract, CASE WHEN coalesce(trim(p.doi), '') = '' AND coalesce(trim(u.doi), '') <> '' THEN u.doi ELSE p.doi END AS doi,
  concat_ws(',', CASE WHEN coalesce(trim(p.abstract), '') = '' AND coalesce(trim(u.abstract), '') <> '' THEN 'abstract' END, CASE WHEN coalesce(trim(p.doi), '') = '' AND coalesce(trim(u.doi), '') <> '' THEN 'doi' END) AS filled
-FROM paper_responses p LEFT JOIN u ON p.openalex_id = u.openalex_id""")
+FROM raw_papers p LEFT JOIN u ON p.openalex_id = u.openalex_id WHERE p.batch_no = 0""")
 def fill_missing_merge(spark, sf):
-    updates = R.first_wins(table(spark, sf, "raw_papers").where("openalex_id is not null").select("openalex_id", "abstract", "doi", "raw_id"), ["openalex_id"], [F.col("raw_id")]).drop("raw_id")
-    papers = table(spark, sf, "paper_responses").select("id", "fetched_at", "openalex_id", "abstract", "doi")
-    merged = R.fill_missing(papers, updates, "openalex_id", {"abstract": "string", "doi": "string"})
-    return merged.select("id", "fetched_at", "abstract", "doi", F.array_join("filled", ",").alias("filled"))
+    """The corpus (batch 0) with the abstract and DOI that it lacks from the first later work of the same work id."""
+    papers = table(spark, sf, "raw_papers").select("raw_id", "batch_no", "openalex_id", "abstract", "doi")
+    updates = R.first_wins(papers.where("openalex_id is not null and batch_no > 0"), ["openalex_id"], [F.col("raw_id")]).drop("raw_id", "batch_no")
+    merged = R.fill_missing(papers.where("batch_no = 0"), updates, "openalex_id", {"abstract": "string", "doi": "string"})
+    return merged.select("raw_id", "abstract", "doi", F.array_join("filled", ",").alias("filled"))
 
 
 @query("""WITH o AS (SELECT c_custkey AS g, o_orderkey AS i, o_totalprice AS p, 0 AS fresh FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate < TIMESTAMP '1999-01-01 00:00:00' UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 1 FROM orders),
@@ -320,11 +323,14 @@ def containment_title_match(spark, sf):
     return a.join(b, "t").select("a", "b").unionByName(held)
 
 
-@query(f"""WITH w AS (SELECT raw_id, {_DOI.format('doi')} AS d, nullif(trim(arxiv_id), '') AS x FROM raw_papers), c AS (SELECT DISTINCT {_DOI.format('doi')} AS d FROM paper_responses WHERE doi IS NOT NULL)
-SELECT raw_id, CASE WHEN d IN (SELECT d FROM c WHERE d IS NOT NULL) THEN 'core' ELSE 'external' END AS label FROM w""")
+@query(f"""WITH w AS (SELECT raw_id, batch_no, {_DOI.format('doi')} AS d, nullif(lower(trim(arxiv_id)), '') AS x FROM raw_papers), c AS (SELECT * FROM w WHERE batch_no = 0)
+SELECT raw_id, CASE WHEN d IN (SELECT d FROM c WHERE d IS NOT NULL) OR x IN (SELECT x FROM c WHERE x IS NOT NULL) THEN 'core' ELSE 'external' END AS label, coalesce((SELECT min(c.raw_id) FROM c WHERE c.d = w.d), (SELECT min(c.raw_id) FROM c WHERE c.x = w.x)) AS corpus_id FROM w WHERE batch_no > 0""")
 def core_or_external(spark, sf):
-    core = table(spark, sf, "paper_responses").select(T.plain_doi(F.col("doi")).alias("d")).where("d is not null").distinct().withColumn("core", F.lit("core"))
-    return table(spark, sf, "raw_papers").select("raw_id", T.plain_doi(F.col("doi")).alias("d")).join(core, "d", "left").select("raw_id", F.coalesce("core", F.lit("external")).alias("label"))
+    """Works of the later batches, labelled core with their record where the corpus (batch 0) has their DOI, else their preprint id."""
+    papers = table(spark, sf, "raw_papers").select("raw_id", "batch_no", T.plain_doi(F.col("doi")).alias("d"), F.nullif(F.lower(F.trim("arxiv_id")), F.lit("")).alias("x"))
+    works, corpus = papers.where("batch_no > 0"), papers.where("batch_no = 0").select(F.col("raw_id").alias("corpus_id"), F.col("d").alias("cd"), F.col("x").alias("cx"))
+    hits = R.prioritized_match(works, corpus, [("doi", F.col("d"), F.col("cd")), ("preprint", F.col("x"), F.col("cx"))], "raw_id", "corpus_id")
+    return works.select("raw_id").join(hits, "raw_id", "left").select("raw_id", F.when(F.col("corpus_id").isNull(), "external").otherwise("core").alias("label"), "corpus_id")
 
 
 @query("""SELECT count(*) AS papers, count(*) FILTER (len(resolved_references) > 0) AS with_references, sum(coalesce(len(resolved_references), 0))::BIGINT AS listed, sum(coalesce(reference_count, 0))::BIGINT AS counted, round(100.0 * sum(coalesce(len(resolved_references), 0)) / sum(coalesce(reference_count, 0)), 1)::DOUBLE AS coverage_pct FROM paper_responses""")

@@ -42,10 +42,12 @@ def events_session(spark, sf):
     return live.sessions(table(spark, sf, "events"), "ts", "2 hours", ["user_id"]).withColumn("total", F.round("total", 4))
 
 
-@query("""SELECT user_id, min(event_id) AS seq, arg_min(event_type, event_id) AS source FROM events GROUP BY user_id HAVING NOT bool_or(event_type = 'error')""")
+@query("""SELECT k, min(event_id) AS seq, arg_min(event_type, event_id) AS source FROM (SELECT user_id || ':' || (json_extract(props, '$.k')::BIGINT // 4) AS k, event_id, event_type FROM events) GROUP BY k HAVING NOT bool_or(event_type = 'error')""")
 def queue_fold_ack(spark, sf):
-    log = table(spark, sf, "events").withColumn("gone", F.col("event_type") == "error")
-    return live.folded_queue(log, "user_id", "event_id", "gone", "event_type")
+    """Items (a user and a range of k) waiting in the log; an error cancels the item for good."""
+    item = F.concat_ws(":", "user_id", F.floor(F.get_json_object("props", "$.k").cast("bigint") / 4).cast("string"))
+    log = table(spark, sf, "events").select(item.alias("k"), "event_id", "event_type", (F.col("event_type") == "error").alias("gone"))
+    return live.folded_queue(log, "k", "event_id", "gone", "event_type")
 
 
 @query("""SELECT e.event_id, e.user_id, (SELECT p.value FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS value_known FROM events e WHERE e.event_type = 'click'""")
@@ -75,15 +77,15 @@ def xml_titles(spark, sf):
     return papers.select("raw_id", records.xml_title(xml).alias("title"))
 
 
-@query("""SELECT raw_id, title, year, len(authors)::INT AS authors FROM raw_papers WHERE len(authors) > 0 AND NOT ends_with(title, '.') AND len(list_filter(authors, lambda a: a.name IS NULL)) = 0""")
+@query(r"""SELECT raw_id, regexp_replace(title, '\.+$', '') AS title, year, len(list_filter(authors, lambda a: a.name IS NOT NULL))::INT AS authors, array_to_string(list_transform(list_filter(authors, lambda a: a.name IS NOT NULL), lambda a: regexp_replace(a.name, '\s*\d{4}$', '')), '|') AS names FROM raw_papers WHERE len(authors) > 0""")
 def dblp_json(spark, sf):
-    papers = table(spark, sf, "raw_papers").where("size(authors) > 0 and not endswith(title, '.') and not exists(authors, a -> a.name is null)")
+    """All papers written as search hits, whose one author is an object and not a list, and read again."""
+    papers = table(spark, sf, "raw_papers").where("size(authors) > 0")
     authors = F.transform("authors", lambda a: F.struct(a["name"].alias("text")))
-    one = F.to_json(F.struct(F.struct(F.col("raw_id").cast("string").alias("key"), F.concat("title", F.lit(".")).alias("title"), F.col("year").cast("string").alias("year"), F.struct(authors.alias("author")).alias("authors")).alias("info")))
-    single = F.to_json(F.struct(F.struct(F.col("raw_id").cast("string").alias("key"), F.concat("title", F.lit(".")).alias("title"), F.col("year").cast("string").alias("year"), F.struct(F.element_at(authors, 1).alias("author")).alias("authors")).alias("info")))
-    raw = papers.select(F.when(F.size("authors") == 1, single).otherwise(one).alias("hit"))
+    hit = lambda author: F.to_json(F.struct(F.struct(F.col("raw_id").cast("string").alias("key"), F.concat("title", F.lit(".")).alias("title"), F.col("year").cast("string").alias("year"), F.struct(author.alias("author")).alias("authors")).alias("info")))
+    raw = papers.select(F.when(F.size("authors") == 1, hit(F.element_at(authors, 1))).otherwise(hit(authors)).alias("hit"))
     hits = records.dblp_hits(raw, "hit")
-    return hits.select(F.col("key").cast("bigint").alias("raw_id"), "title", "year", F.size("authors").alias("authors"))
+    return hits.select(F.col("key").cast("bigint").alias("raw_id"), "title", "year", F.size("authors").alias("authors"), F.array_join("authors", "|").alias("names"))
 
 
 @query()

@@ -17,14 +17,14 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 def snapshot_works(spark: SparkSession, folder: str, done: list[str] | None = None) -> DataFrame:
     """Works of a snapshot: ``folder/updated_date=*/*.gz`` with one JSON object a line.
 
-    Blank and malformed lines are dropped and unreadable files skipped; ``done`` names
-    files taken before. The file of every row is in ``file``.
+    Blank and malformed lines are dropped and unreadable files skipped; ``done`` are the
+    full paths of files taken before (as in ``file``, which every row has), anti-joined.
     """
     read = spark.read.schema(WORK).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").option("basePath", folder)
     works = read.json(f"{folder}/updated_date=*/*").withColumn("file", F.col("_metadata.file_path")).where("id is not null")
-    for name in done or []:
-        works = works.where(~F.col("file").endswith(name))
-    return works
+    if not done:
+        return works
+    return works.join(spark.createDataFrame([(d,) for d in done], "file string").distinct(), "file", "left_anti")
 
 
 def works_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +76,8 @@ def escaped(text: Column) -> Column:
 def dblp_hits(raw: DataFrame, column: str) -> DataFrame:
     """(key, title, authors, year) of search hits, whose authors come as one object or a list.
 
-    Numbers that tell namesakes apart are cut off names, and the final stop off titles.
+    Numbers that tell namesakes apart are cut off names, and final stops off titles;
+    authors without a name are left out.
     """
     doc = F.try_parse_json(column)
     listed = F.coalesce(
@@ -85,8 +86,8 @@ def dblp_hits(raw: DataFrame, column: str) -> DataFrame:
     )
     return raw.select(
         F.try_variant_get(doc, "$.info.key", "string").alias("key"),
-        F.regexp_replace(F.try_variant_get(doc, "$.info.title", "string"), r"\.$", "").alias("title"),
-        F.transform(listed, lambda a: F.regexp_replace(a["text"], r"\s*\d{4}$", "")).alias("authors"),
+        F.regexp_replace(F.try_variant_get(doc, "$.info.title", "string"), r"\.+$", "").alias("title"),
+        F.transform(F.filter(listed, lambda a: a["text"].isNotNull()), lambda a: F.regexp_replace(a["text"], r"\s*\d{4}$", "")).alias("authors"),
         F.try_variant_get(doc, "$.info.year", "string").try_cast("int").alias("year"),
     )
 

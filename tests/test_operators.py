@@ -150,7 +150,10 @@ def test_snapshot_source_and_quarantine(spark, tmp_path):
         f.write('{"id": "W1", "title": "x"}\n\n{this is not json}\n')
     works = records.snapshot_works(spark, str(tmp_path))
     assert [r.id for r in works.collect()] == ["W1"]
-    assert records.snapshot_works(spark, str(tmp_path), done=["a.gz"]).count() == 0
+    done = works.first().file
+    with gzip.open(part / "xa.gz", "wt") as f:
+        f.write('{"id": "W2", "title": "y"}\n')
+    assert [r.id for r in records.snapshot_works(spark, str(tmp_path), done=[done]).collect()] == ["W2"]
     assert records.quarantined(spark, str(tmp_path)).count() == 1
 
 
