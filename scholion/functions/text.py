@@ -161,3 +161,51 @@ def lexical_weights(query: str) -> tuple[float, float]:
     if query.strip().startswith('"') or len(words_) <= 3 or len(short) >= max(1, len(words_) // 2):
         return 0.7, 1.3
     return (1.4, 0.6) if len(words_) >= 12 else (1.0, 1.0)
+
+
+def lettered(text: Column) -> Column:
+    """Letters, digits, underscores and single spaces of a text."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+
+
+def preprint_of_doi(doi: Column) -> Column:
+    """The preprint's own id out of the DOI that its server gives it, else null."""
+    return F.nullif(F.regexp_extract(doi, r"^10\.[0-9]+/(?:preprint|arxiv)[.\-_:](.+)$", 1), F.lit(""))
+
+
+def by_prefix(text: Column, prefixes: dict[str, str]) -> Column:
+    """The name of the first prefix that a text begins with, else unknown."""
+    return by_rules(text, tuple((n, "^" + p) for n, p in prefixes.items()), "unknown")
+
+
+def by_rules(text: Column, rules: tuple[tuple[str, str], ...], otherwise: str) -> Column:
+    """The name of the first rule (name, pattern) that a text meets."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, pattern in rules:
+        out = out.when(text.rlike(pattern), name)
+    return out.otherwise(otherwise)
+
+
+def first_most(text: Column, words_of: dict[str, tuple[str, ...]]) -> Column:
+    """The name of which the text has the most words, the first of equals; null if it has none."""
+    hits = {n: sum((F.contains(text, F.lit(w)).cast("int") for w in ws), F.lit(0)) for n, ws in words_of.items()}
+    most = F.greatest(*hits.values())
+    out = F.when(most == 0, F.lit(None).cast("string"))
+    for name, n in hits.items():
+        out = out.when(n == most, name)
+    return out
+
+
+def latin_words(text: Column) -> Column:
+    """Runs of Latin letters, digits and hyphens, as they are written."""
+    return F.filter(F.split(text, "[^A-Za-z0-9-]+"), lambda w: w != "")
+
+
+def acronym_ways(title: Column) -> dict[str, Column]:
+    """Candidates for acronyms of a title by how they are written: leading, in brackets, in capitals, in mixed case."""
+    return {
+        "lead": F.array(F.regexp_extract(title, r"^([A-Za-z][A-Za-z0-9-]{1,14})\s*[:–—]", 1)),
+        "brackets": F.regexp_extract_all(title, F.lit(r"\(([A-Z][A-Za-z0-9-]{1,14})\)"), F.lit(1)),
+        "capitals": F.filter(latin_words(title), lambda w: w.rlike("^[A-Z]{2}[A-Z0-9-]{0,13}$")),
+        "mixed": F.filter(latin_words(title), lambda w: w.rlike("^[A-Z][a-z]+[A-Z][A-Za-z0-9]{0,12}$")),
+    }

@@ -36,7 +36,7 @@ from scholion.llm.identifiers import is_preprint, own_doi
 from scholion.llm.titles import MOST_DAMAGED, damaged_words, fold_words, same_but_slips, series_mark, shortened_forms, slips_allowed
 from scholion.runtime import drop, materialize, read_text, shared_dir, write_text
 
-PREFIX = 6
+PREFIX = 5
 SKETCH = 1 << 15
 #: Damaged words times the edits of each.
 LENGTH_GAP = 6
@@ -353,6 +353,7 @@ def duplicates_against_history(papers: DataFrame) -> DataFrame:
         part = index.ingest_normalised(normal.where(F.col("batch_no") == number).drop("batch_no"), link=number > 0)
         if part is not None:
             found = part if found is None else found.unionByName(part)
+    index.close()
     if found is None:
         return normal.select(F.col("raw_id").alias("first_id"), "raw_id").limit(0)
     groups = connected_components(found)

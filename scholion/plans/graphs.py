@@ -134,7 +134,7 @@ def hits_fixed_rounds(spark, sf):
     return found.select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def weak_components(spark, sf):
     return G.weak_components(edges(spark, sf))
 
@@ -155,3 +155,84 @@ def first_citers(spark, sf):
 
     place = F.row_number().over(W.partitionBy("dst").orderBy("src"))
     return edges(spark, sf).select("dst", "src", place.alias("place")).where("place <= 3")
+
+
+_U = "u AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e)"
+_CLUSTERING = f"""{_U}, d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY node), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
+k AS (SELECT node, count(*) AS n FROM (SELECT p AS node FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY node), l AS (SELECT d.node, degree, CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0.0 END AS clustering FROM d LEFT JOIN k ON k.node = d.node)"""
+
+
+@query(f"WITH {_E}, {_CLUSTERING} SELECT node, degree, round(clustering, 9)::DOUBLE AS clustering FROM l")
+def local_clustering(spark, sf):
+    return G.local_clustering(edges(spark, sf)).withColumn("clustering", F.round("clustering", 9))
+
+
+@query(f"""WITH {_E}, {_N}, {_CLUSTERING}, o AS (SELECT src AS node, count(*) AS o FROM e GROUP BY src), i AS (SELECT dst AS node, count(*) AS i FROM e GROUP BY dst)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) * 1.0 / (SELECT count(*) FROM n), 6)::DOUBLE AS mean_degree, (SELECT max(i) FROM i) AS most_cited, (SELECT max(o) FROM o) AS most_citing, (SELECT round(avg(clustering), 6) FROM l)::DOUBLE AS mean_clustering""")
+def global_metrics(spark, sf):
+    """Size, degrees and mean clustering of the whole graph."""
+    e = edges(spark, sf)
+    d = G.degrees(e).agg(F.count(F.lit(1)).alias("nodes"), F.sum("out_degree").alias("edges"), F.max("in_degree").alias("most_cited"), F.max("out_degree").alias("most_citing"))
+    c = G.local_clustering(e).agg(F.round(F.avg("clustering"), 6).alias("mean_clustering"))
+    return d.join(F.broadcast(c)).select("nodes", "edges", F.round(F.col("edges") / F.col("nodes"), 6).alias("mean_degree"), "most_cited", "most_citing", "mean_clustering")
+
+
+_CENTERS = "c AS (SELECT dst AS center FROM e GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 5)"
+
+
+def _directed_sql(a: str, b: str) -> str:
+    return f"""WITH {_E}, {_CENTERS}, h1 AS MATERIALIZED (SELECT DISTINCT center, {b} AS node FROM c JOIN e ON {a} = center), h2 AS (SELECT DISTINCT center, {b} AS node FROM h1 JOIN e ON {a} = node),
+v AS MATERIALIZED (SELECT center, node, min(hop) AS hop FROM (SELECT center, center AS node, 0 AS hop FROM c UNION ALL SELECT center, node, 1 FROM h1 UNION ALL SELECT center, node, 2 FROM h2) GROUP BY 1, 2)"""
+
+
+def _centers(e: DataFrame) -> DataFrame:
+    return e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "node").limit(5).select("node")
+
+
+@query(_directed_sql("dst", "src") + " SELECT center, node, hop::INT AS hop, center = node AS is_center FROM v")
+def citing_subgraph(spark, sf):
+    """Who cites the five most cited within two steps."""
+    e = edges(spark, sf)
+    return G.subgraph(e, _centers(e), 2, "citing")[0]
+
+
+@query(_directed_sql("src", "dst") + " SELECT v.center, e.src, e.dst FROM v JOIN e ON e.src = v.node JOIN v w ON w.center = v.center AND w.node = e.dst")
+def cited_subgraph_edges(spark, sf):
+    """All citations among what the five most cited cite within two steps."""
+    e = edges(spark, sf)
+    return G.subgraph(e, _centers(e), 2, "cited")[1]
+
+
+@query(_directed_sql("dst", "src") + ", s AS (SELECT v.center, count(*) AS edges FROM v JOIN e ON e.src = v.node JOIN v w ON w.center = v.center AND w.node = e.dst GROUP BY 1) SELECT center, count(*) AS nodes, coalesce(any_value(s.edges), 0) AS edges, CASE WHEN count(*) > 1 THEN round(coalesce(any_value(s.edges), 0) * 1.0 / (count(*) * (count(*) - 1)), 6) ELSE 0.0 END::DOUBLE AS density FROM v LEFT JOIN s USING (center) GROUP BY center")
+def subgraph_density(spark, sf):
+    """Nodes, edges and density of the same subgraphs."""
+    e = edges(spark, sf)
+    nodes, inner = G.subgraph(e, _centers(e), 2, "citing")
+    counts = nodes.groupBy("center").agg(F.count(F.lit(1)).alias("nodes")).join(inner.groupBy("center").agg(F.count(F.lit(1)).alias("edges")), "center", "left").fillna(0, ["edges"])
+    return counts.withColumn("density", F.when(F.col("nodes") > 1, F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6)).otherwise(0.0))
+
+
+@query(f"WITH {_E}, {_N}, d AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS i, (SELECT count(*) FROM e WHERE src = node) AS o FROM n), m AS (SELECT 'in_degree' AS metric, node, i AS value FROM d UNION ALL SELECT 'out_degree', node, o FROM d) SELECT metric, node, value, place FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, node)::INT AS place FROM m) WHERE place <= 10")
+def top_by_metric(spark, sf):
+    """The ten foremost nodes by each degree."""
+    from pyspark.sql import Window as W
+
+    listed = G.degrees(edges(spark, sf)).select("node", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("in_degree", "out_degree")])).alias("x")).select("x.metric", "node", "x.value")
+    place = F.row_number().over(W.partitionBy("metric").orderBy(F.col("value").desc(), "node"))
+    return listed.withColumn("place", place).where("place <= 10")
+
+
+@query()
+def metrics_stored(spark, sf):
+    """Records with their rank, hub, authority and community; nodes that are no records drop out, records outside the graph have none."""
+    e = materialize(edges(spark, sf), "edges")
+    papers = table(spark, sf, "paper_responses").select(F.col("id").alias("node")).distinct()
+    return papers.join(G.pagerank(e, rounds=ROUNDS), "node", "left").join(G.hits(e, rounds=5), "node", "left").join(G.communities(e), "node", "left")
+
+
+@query("SELECT count(*) AS papers, sum(coalesce(len(resolved_references), 0))::BIGINT AS edges, round((count(*) * 200.0 + sum(coalesce(len(resolved_references), 0)) * 16.0) / 1048576, 3)::DOUBLE AS mb FROM paper_responses")
+def graph_memory_estimate(spark, sf):
+    """What the graph would take in memory at 200 bytes a node and 16 an edge."""
+    n = F.when(F.col("resolved_references").isNotNull(), F.size("resolved_references")).otherwise(0)
+    sums = table(spark, sf, "paper_responses").agg(F.count(F.lit(1)).alias("papers"), F.sum(n).alias("edges"))
+    return sums.withColumn("mb", F.round((F.col("papers") * 200.0 + F.col("edges") * 16.0) / 1048576, 3))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions import text as T
 from scholion.operators import search as S
-from scholion.runtime import table
+from scholion.runtime import materialize, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,23 +74,99 @@ def prf_centroid(spark, sf):
     return S.centroid(table(spark, sf, "embeddings").where("label = 3"), "embedding").select("pos", F.round("x", 6).alias("x"))
 
 
-_LEG = "z AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(text), doc_id)::INT AS rank FROM (SELECT DISTINCT qid FROM q), documents WHERE coalesce(trim(text), '') <> '') WHERE rank <= 50)"
+#: Documents whose vectors make the query's vector, and how far each leg reaches.
+FEEDBACK, REACH = 5, 50
+_WEIGHTS = "lw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {T.lexical_weights(q)[0]}, {T.lexical_weights(q)[1]})" for i, q in ASKED) + ") t(qid, wd, wl))"
+_DENSE = f"""f AS (SELECT b.qid, generate_subscripts(e.embedding, 1) AS i, unnest(e.embedding)::DOUBLE AS x FROM (SELECT b.*, row_number() OVER (PARTITION BY qid ORDER BY rank) AS p FROM b WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)) b JOIN embeddings e ON e.vec_id = b.doc_id WHERE p <= {FEEDBACK}),
+g AS (SELECT qid, list(x ORDER BY i) AS c FROM (SELECT qid, i, avg(x) AS x FROM f GROUP BY qid, i) GROUP BY qid), s2 AS (SELECT g.qid, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], g.c), 4) AS score FROM embeddings e, g WHERE e.embedding IS NOT NULL),
+z AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM s2), {_WEIGHTS}"""
+_BM25_F = _BM25.replace("f AS (SELECT term", "df_ AS (SELECT term").replace("JOIN f USING (term)", "JOIN df_ USING (term)")
 
 
-@query(_BM25 + f", {_LEG} SELECT qid, doc_id, round(sum(w / (60.0 + rank)), 8)::DOUBLE AS score FROM (SELECT qid, doc_id, rank, 1.0 AS w FROM b WHERE rank <= 50 UNION ALL SELECT qid, doc_id, rank, 0.6 FROM z) GROUP BY qid, doc_id")
+def _dense(spark, sf, words, k):  # noqa: ANN001, ANN202
+    """The nearest documents to the mean vector of a query's first results by words (feedback stands for an encoder)."""
+    vectors = table(spark, sf, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), "embedding")
+    first = S.top(words.drop("rank").join(vectors, "doc_id"), ["qid"], "score", "doc_id", FEEDBACK)
+    means = first.select("qid", F.posexplode("embedding").alias("i", "x")).groupBy("qid", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    asked = means.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("qid", F.transform("v", lambda t: t["x"]).alias("embedding"))
+    return S.cosine_blocks(vectors.withColumnRenamed("doc_id", "vec_id"), asked, k).withColumnRenamed("vec_id", "doc_id")
+
+
+def _fused(spark, sf):  # noqa: ANN001, ANN202
+    """Both legs, each as far as its weight reaches, fused by reciprocal rank with the weights that the query's form asks for."""
+    words = materialize(_bm25(spark, sf, REACH), "words")
+    dense = _dense(spark, sf, words, int(REACH * 1.4))
+    weights = spark.createDataFrame([(i, *T.lexical_weights(q)) for i, q in ASKED], "qid int, wd double, wl double")
+    leg = lambda frame, w: frame.join(F.broadcast(weights), "qid").where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(REACH) * F.col(w)))).select("qid", "doc_id", (F.col(w) / (F.lit(S.RRF_K) + F.col("rank"))).alias("s"))
+    return leg(words, "wl").unionByName(leg(dense, "wd")).groupBy("qid", "doc_id").agg(F.sum("s").alias("score"))
+
+
+_FUSED = f"""{_BM25_F}, {_DENSE}, fu AS (SELECT qid, doc_id, sum(s) AS score FROM (SELECT b.qid, doc_id, wl / (60.0 + rank) AS s FROM b JOIN lw USING (qid) WHERE rank <= {REACH} AND rank <= greatest(1, floor({REACH} * wl)) UNION ALL SELECT z.qid, doc_id, wd / (60.0 + rank) FROM z JOIN lw USING (qid) WHERE rank <= greatest(1, floor({REACH} * wd))) GROUP BY qid, doc_id)"""
+
+
+@query(_FUSED + " SELECT qid, doc_id, round(score, 8)::DOUBLE AS score FROM fu")
 def rrf_fusion(spark, sf):
-    """Two ranked legs fused: BM25, and the shortest texts as a stand-in for a second retriever."""
-    shortest = table(spark, sf, "documents").where(T.has_value(F.col("text"))).select("doc_id", F.length("text").alias("n")).orderBy("n", "doc_id").limit(50)
-    numbered = shortest.selectExpr("doc_id", "row_number() over (order by n, doc_id) as rank")
-    leg = numbered.select(F.explode(F.array(*[F.lit(i) for i, _ in ASKED])).alias("qid"), "doc_id", "rank")
-    return S.fused([(_bm25(spark, sf, 50), 1.0), (leg, 0.6)], "doc_id").withColumn("score", F.round("score", 8))
+    """A leg by words and one by vectors, fused by reciprocal rank."""
+    return _fused(spark, sf).withColumn("score", F.round("score", 8))
+
+
+@query(_FUSED + """, h AS (SELECT qid, doc_id, round(score, 8)::DOUBLE AS score, count(*) OVER (PARTITION BY qid) AS total, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, doc_id)::INT AS rank FROM fu JOIN documents d USING (doc_id) WHERE coalesce(d.pub_year, 0) >= 2005 AND d.lang = 'en')
+SELECT qid, doc_id, score, rank, total FROM h WHERE rank > 5 AND rank <= 15""")
+def search_pipeline(spark, sf):
+    """Filtered, fused and paged: results 6 to 15 of each query among English documents from 2005 on, with how many there are."""
+    from pyspark.sql import Window as W
+
+    kept = table(spark, sf, "documents").where("coalesce(pub_year, 0) >= 2005 and lang = 'en'").select("doc_id")
+    found = materialize(_fused(spark, sf).join(kept, "doc_id", "left_semi").withColumn("score", F.round("score", 8)), "found")
+    totals = found.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id"))
+    return found.withColumn("rank", place).where("rank > 5 and rank <= 15").join(totals, "qid").select("qid", "doc_id", "score", "rank", "total")
+
+
+@query(_BM25_F + f", {_DENSE} SELECT qid, doc_id, score, rank FROM z WHERE rank <= 20")
+def prf_research(spark, sf):
+    """The search done again with the mean vector of its first results."""
+    return _dense(spark, sf, _bm25(spark, sf, REACH), 20).select("qid", "doc_id", "score", "rank")
+
+
+@query(_BM25 + ", v AS (SELECT DISTINCT qid FROM b JOIN embeddings ON vec_id = doc_id AND label = 99) SELECT qid, doc_id, rank, qid NOT IN (SELECT qid FROM v) AS by_words_only FROM b WHERE rank <= 10")
+def words_only_fallback(spark, sf):
+    """Where a query has no vector (here none of the wanted kind) the leg by words stands alone."""
+    words = _bm25(spark, sf, 10)
+    able = _bm25(spark, sf, 1 << 30).join(table(spark, sf, "embeddings").where("label = 99").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("qid").distinct().withColumn("able", F.lit(True))
+    return words.join(able, "qid", "left").select("qid", "doc_id", "rank", F.col("able").isNull().alias("by_words_only"))
+
+
+@query("""SELECT id, fetched_at, title, year, coalesce(len(resolved_references), 0)::INT AS references_, coalesce(len(cited_by), 0)::INT AS citers, array_to_string(authors[1:3], '; ') AS first_authors FROM paper_responses WHERE deleted_at IS NULL""")
+def paper_detail(spark, sf):
+    """What is shown of a record, with how many it cites and is cited by."""
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    return table(spark, sf, "paper_responses").where("deleted_at is null").select("id", "fetched_at", "title", "year", size("resolved_references").alias("references_"), size("cited_by").alias("citers"), F.array_join(F.slice("authors", 1, 3), "; ").alias("first_authors"))
+
+
+@query(f"WITH {_COS} SELECT qid, vec_id, score, rank FROM v WHERE rank <= 10 AND qid % 100 = 0")
+def stored_similar(spark, sf):
+    """The stored nearest of some vectors, as lists looked up by key and unrolled."""
+    near = _nearest(spark, sf, 10)
+    lists = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("x"))
+    return lists.where("qid % 100 = 0").select("qid", F.explode("x").alias("x")).select("qid", "x.vec_id", "x.score", "x.rank")
+
+
+@query("""WITH u AS (SELECT raw_id, source, coalesce(nullif(lower(trim(doi)), ''), nullif(lower(trim(arxiv_id)), ''), lower(trim(title))) AS k FROM raw_papers WHERE source IN ('arxiv', 'openalex', 'semantic_scholar'))
+SELECT k, raw_id, source FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY raw_id) AS n FROM u WHERE k <> '') WHERE n = 1""")
+def external_union(spark, sf):
+    """Results of several sources, each work once by DOI, preprint id or title, the first."""
+    low = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    rows = table(spark, sf, "raw_papers").where(F.col("source").isin("arxiv", "openalex", "semantic_scholar")).select("raw_id", "source", F.coalesce(low("doi"), low("arxiv_id"), low("title")).alias("k")).where("k is not null")
+    return rows.groupBy("k").agg(F.min(F.struct("raw_id", "source")).alias("b")).select("k", "b.raw_id", "b.source")
 
 
-@query("""WITH m AS (SELECT coalesce(nullif(max(ln(1.0 + coalesce(citation_count, 0))), 0.0), 1.0) AS mc, coalesce(nullif(max(coalesce(in_corpus_citation_count, 0)::DOUBLE), 0.0), 1.0) AS mr FROM paper_responses)
-SELECT id, fetched_at, round(0.6 * (1.0 / (1 + reference_count)) + 0.2 * ln(1.0 + coalesce(citation_count, 0)) / mc + 0.2 * coalesce(in_corpus_citation_count, 0)::DOUBLE / mr, 6)::DOUBLE AS boosted FROM paper_responses, m WHERE reference_count IS NOT NULL""")
+@query(_BM25 + """, p AS (SELECT b.qid, b.doc_id, b.score, r.citation_count AS c, r.tier AS t FROM b JOIN raw_papers r ON r.raw_id = b.doc_id + 1 WHERE rank <= 50), m AS (SELECT coalesce(nullif(max(ln(1.0 + coalesce(c, 0))), 0.0), 1.0) AS mc, coalesce(nullif(max(coalesce(t, 0)::DOUBLE), 0.0), 1.0) AS mt FROM p)
+SELECT qid, doc_id, round(0.6 * score + 0.2 * ln(1.0 + coalesce(c, 0)) / mc + 0.2 * coalesce(t, 0)::DOUBLE / mt, 6)::DOUBLE AS boosted FROM p, m""")
 def citation_boost(spark, sf):
-    papers = table(spark, sf, "paper_responses").select("id", "fetched_at", "citation_count", F.col("in_corpus_citation_count").cast("double").alias("rank"), "reference_count", (1.0 / (1 + F.col("reference_count"))).alias("score"))
-    return S.boosted(papers, "score", "citation_count", "rank").where("reference_count is not null").select("id", "fetched_at", "boosted")
+    """Results by words, raised by citations (and tiers) of the paper under the document's number; null counts are 0."""
+    papers = table(spark, sf, "raw_papers").select((F.col("raw_id") - 1).alias("doc_id"), "citation_count", F.col("tier").cast("double").alias("tier"))
+    return S.boosted(_bm25(spark, sf, 50).join(papers, "doc_id"), "score", "citation_count", "tier").select("qid", "doc_id", "boosted")
 
 
 @query()

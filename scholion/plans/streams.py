@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scholion.runtime import shared_dir, table
 from scholion.sources import records, sinks
-from scholion.streaming import live
+from scholion.streaming import live, phases
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,62 @@ def graphml_export(spark, sf):
     papers = table(spark, sf, "seed_papers").select(F.col("point_id").alias("id"), F.col("payload.title").alias("title"), F.col("payload.cited_by").alias("cited_by"))
     edges = papers.select(F.col("id").alias("dst"), F.explode("cited_by").alias("src")).where("src is not null")
     return sinks.graphml_lines(edges, papers.select("id", "title"), "id")
+
+
+_FIRST = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY openalex_id ORDER BY raw_id) AS n FROM raw_papers WHERE batch_no > 0 AND openalex_id IS NOT NULL) WHERE n = 1)"
+_CORPUS = f"""{_FIRST}, c AS (SELECT p.raw_id, p.openalex_id, CASE WHEN coalesce(trim(p.abstract), '') = '' AND coalesce(trim(f.abstract), '') <> '' THEN f.abstract ELSE p.abstract END AS abstract, CASE WHEN coalesce(trim(p.doi), '') = '' AND coalesce(trim(f.doi), '') <> '' THEN f.doi ELSE p.doi END AS doi,
+ concat_ws(',', CASE WHEN coalesce(trim(p.abstract), '') = '' AND coalesce(trim(f.abstract), '') <> '' THEN 'abstract' END, CASE WHEN coalesce(trim(p.doi), '') = '' AND coalesce(trim(f.doi), '') <> '' THEN 'doi' END) AS filled, false AS injected FROM raw_papers p LEFT JOIN f ON f.openalex_id = p.openalex_id WHERE p.batch_no = 0
+ UNION ALL SELECT raw_id, openalex_id, abstract, doi, '', true FROM f WHERE openalex_id NOT IN (SELECT openalex_id FROM raw_papers WHERE batch_no = 0 AND openalex_id IS NOT NULL))"""
+
+
+def _phased(spark, sf):  # noqa: ANN001, ANN202
+    """The later batches as a stream of works, brought into the corpus (batch 0)."""
+    papers = table(spark, sf, "raw_papers")
+    made = phases.Phases(spark, f"{shared_dir(spark)}/phases-{uuid.uuid4().hex[:12]}")
+    made.start(papers.where("batch_no = 0"))
+    stream = spark.readStream.schema(papers.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/raw_papers.parquet*")
+    made.run(stream.where("batch_no > 0").select("raw_id", "openalex_id", "abstract", "doi", "year", "citation_count", "referenced_works"))
+    return made
+
+
+@query(f"WITH {_CORPUS} SELECT * FROM c")
+def snapshot_corpus(spark, sf):
+    """The corpus after the phases that fill fields and inject gaps."""
+    return _phased(spark, sf).corpus.read()
+
+
+@query(f"""WITH {_CORPUS}, r AS (SELECT openalex_id AS citer, year, citation_count, unnest(referenced_works) AS w FROM raw_papers WHERE batch_no > 0 AND openalex_id IS NOT NULL), m AS (SELECT c.raw_id, r.citer, max(r.year) AS year, max(r.citation_count) AS citations FROM r JOIN c ON c.openalex_id = r.w GROUP BY 1, 2)
+SELECT raw_id, citer, year, citations FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY coalesce(year, 0) DESC, coalesce(citations, 0) DESC, citer) AS p FROM m) WHERE p <= {phases.CITERS_KEPT}""")
+def snapshot_citers(spark, sf):
+    """The outside citers after the same phases."""
+    return _phased(spark, sf).citers.read()
+
+
+@query("""WITH q AS (SELECT k, min(event_id) AS seq FROM (SELECT user_id || ':' || (json_extract(props, '$.k')::BIGINT // 4) AS k, event_id, event_type FROM events) GROUP BY k HAVING NOT bool_or(event_type = 'error'))
+SELECT q.k, q.seq FROM q WHERE seq % 5 = 0 OR seq NOT IN (SELECT vec_id FROM embeddings)""")
+def queue_drain(spark, sf):
+    """What stays queued after a drain: items of low priority, and those whose record was not found."""
+    waiting = queue_fold_ack(spark, sf).select("k", "seq")
+    done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"))
+    return waiting.where("seq % 5 = 0").unionByName(waiting.where("seq % 5 <> 0").join(done, "seq", "left_anti").select("k", "seq"))
+
+
+@query("""SELECT raw_id, fetched_at FROM raw_papers WHERE fetched_at >= (SELECT max(fetched_at) FROM raw_papers) - INTERVAL 30 DAY""")
+def fetched_since(spark, sf):
+    """Rows of the last thirty days before the newest."""
+    papers = table(spark, sf, "raw_papers").select("raw_id", "fetched_at")
+    newest = papers.agg(F.max("fetched_at").alias("newest"))
+    return papers.join(F.broadcast(newest)).where("fetched_at >= newest - interval 30 days").select("raw_id", "fetched_at")
+
+
+@query("""SELECT source, count(*) AS taken, max(fetched_at) AS mark, max(batch_no) AS last_batch FROM raw_papers WHERE source IS NOT NULL GROUP BY source""")
+def high_water_marks(spark, sf):
+    """How far each source has been taken."""
+    return table(spark, sf, "raw_papers").where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("taken"), F.max("fetched_at").alias("mark"), F.max("batch_no").alias("last_batch"))
+
+
+@query("""SELECT result_id FROM duplicate_results WHERE upper(trim(checked_id)) NOT IN (SELECT upper(trim(openalex_id)) FROM raw_papers WHERE trim(openalex_id) <> '') AND checked_id IS NOT NULL""")
+def resume_unprocessed(spark, sf):
+    """Rows whose id no earlier run has processed."""
+    done = table(spark, sf, "raw_papers").where("trim(openalex_id) <> ''").select(F.upper(F.trim("openalex_id")).alias("k"))
+    return table(spark, sf, "duplicate_results").where("checked_id is not null").select("result_id", F.upper(F.trim("checked_id")).alias("k")).join(done, "k", "left_anti").select("result_id")

@@ -52,14 +52,14 @@ def merge_stream(changes: DataFrame, target: VersionedTable, key: str, order: st
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def phases_stream(works: DataFrame, phases: list[Callable[[DataFrame], None]], checkpoint: str) -> StreamingQuery:
-    """Run several merges in order over each micro-batch, each of which reads what those before it wrote."""
+def phases_stream(works: DataFrame, phases: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+    """Run several merges in order over each micro-batch and its number (from 1), each of which reads what those before it wrote."""
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
             for phase in phases:
-                phase(kept)
+                phase(kept, number + 1)
         finally:
             kept.unpersist()
 

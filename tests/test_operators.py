@@ -201,5 +201,5 @@ def test_streams(spark, tmp_path):
     log = spark.createDataFrame([("a", 2, False, "s2"), ("a", 1, False, "s1"), ("b", 3, False, "s"), ("b", 4, True, "s")], "k string, seq int, gone boolean, src string")
     assert rows(live.folded_queue(log, "k", "seq", "gone", "src"), "k", "seq", "source") == [("a", 1, "s1")]
     seen = []
-    live.phases_stream(stream, [lambda b: seen.append(("first", b.count())), lambda b: seen.append(("then", b.count()))], str(tmp_path / "check2")).awaitTermination()
+    live.phases_stream(stream, [lambda b, _: seen.append(("first", b.count())), lambda b, _: seen.append(("then", b.count()))], str(tmp_path / "check2")).awaitTermination()
     assert seen[0][0] == "first" and seen[1][0] == "then" and sum(n for w, n in seen if w == "first") == 6
