@@ -176,8 +176,8 @@ def modularity(weights: DataFrame, labels: DataFrame) -> float:
 def communities(edges: DataFrame, levels: int = 3, rounds: int = 5) -> DataFrame:
     """(node, community) by modularity: nodes move to the neighbouring community of greatest gain until none gains, then
     communities become the nodes of a smaller graph, and so on (Louvain's method, with half of the nodes moving at a time
-    so that neighbours do not swap). The community is its least node. A level ends when a round no longer raises the
-    modularity, the whole when a level does not."""
+    so that neighbours do not swap, other halves each round). The community is its least node. A level ends when two rounds
+    do not raise the modularity, the whole when a level does not."""
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).where("u <> v").distinct()
     weights = materialize(both.withColumn("w", F.lit(1.0)), "weights")
     homes = materialize(weights.select(F.col("u").alias("node")).distinct().withColumn("c", F.col("node")), "homes")
@@ -186,6 +186,7 @@ def communities(edges: DataFrame, levels: int = 3, rounds: int = 5) -> DataFrame
         strength = weights.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
         labels = materialize(strength.select("node", "k", F.col("node").alias("c")), "labels")
         start = best = modularity(weights, labels)
+        held, idle = labels, 0
         for turn in range(2 * rounds):
             ties = weights.where("u <> v").join(labels.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node"), "c").agg(F.sum("w").alias("t"))
             totals = labels.groupBy("c").agg(F.sum("k").alias("total"))
@@ -197,20 +198,26 @@ def communities(edges: DataFrame, levels: int = 3, rounds: int = 5) -> DataFrame
             scored = options.select("node", "k", "home", "c", F.round(gain, 9).alias("g"))
             top = scored.groupBy("node", "k", "home").agg(F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("home"), F.col("g"))).alias("stay"))
             target = scored.join(top.select("node", "g"), ["node", "g"]).groupBy("node").agg(F.min("c").alias("to"))
-            moves = (F.col("g") > F.col("stay")) & (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2)
+            moves = (F.col("g") > F.col("stay")) & (F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2)
             new = materialize(top.join(target, "node").select("node", "k", F.when(moves, F.col("to")).otherwise(F.col("home")).alias("c")), "labels")
-            drop(labels)
+            if labels is not held:
+                drop(labels)
             labels = new
             if turn % 2:
-                # Both halves have moved.
+                # Both halves have moved; what raised the modularity most is kept.
                 now = modularity(weights, labels)
-                if now <= best + 1e-4:
-                    break
-                best = now
+                if now > best + 1e-6:
+                    drop(held)
+                    held, best, idle = labels, now, 0
+                else:
+                    idle += 1
+                    if idle == 2:
+                        break
+        labels = held
         least = labels.groupBy("c").agg(F.min("node").alias("name"))
         named = materialize(labels.join(least, "c").select("node", F.col("name").alias("c")), "named")
         homes = materialize(homes.join(named.select(F.col("node").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")), "homes")
-        if best <= start + 1e-4:
+        if best <= start + 1e-6:
             break
         of = lambda k: named.select(F.col("node").alias(k), F.col("c").alias(f"c{k}"))
         weights = materialize(weights.join(of("u"), "u").join(of("v"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "weights")

@@ -101,27 +101,33 @@ _CORPUS = f"""{_FIRST}, c AS (SELECT p.raw_id, p.openalex_id, CASE WHEN coalesce
  UNION ALL SELECT raw_id, openalex_id, abstract, doi, '', true FROM f WHERE openalex_id NOT IN (SELECT openalex_id FROM raw_papers WHERE batch_no = 0 AND openalex_id IS NOT NULL))"""
 
 
-def _phased(spark, sf):  # noqa: ANN001, ANN202
-    """The later batches as a stream of works, brought into the corpus (batch 0)."""
+def _phased(spark, sf, corpus=None):  # noqa: ANN001, ANN202
+    """The later batches as a stream of works, brought into a corpus (batch 0 unless another is given)."""
     papers = table(spark, sf, "raw_papers")
     made = phases.Phases(spark, f"{shared_dir(spark)}/phases-{uuid.uuid4().hex[:12]}")
-    made.start(papers.where("batch_no = 0"))
+    made.start(papers.where("batch_no = 0") if corpus is None else corpus)
     stream = spark.readStream.schema(papers.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/raw_papers.parquet*")
     made.run(stream.where("batch_no > 0").select("raw_id", "openalex_id", "abstract", "doi", "year", "citation_count", "referenced_works"))
     return made
 
 
+_SERVED = "SELECT DISTINCT openalex_id, CAST(substr(openalex_id, 2) AS BIGINT) AS raw_id FROM paper_responses WHERE regexp_full_match(openalex_id, 'W[0-9]+')"
+
+
 @query(f"WITH {_CORPUS} SELECT * FROM c")
 def snapshot_corpus(spark, sf):
     """The corpus after the phases that fill fields and inject gaps."""
     return _phased(spark, sf).corpus.read()
 
 
-@query(f"""WITH {_CORPUS}, r AS (SELECT openalex_id AS citer, year, citation_count, unnest(referenced_works) AS w FROM raw_papers WHERE batch_no > 0 AND openalex_id IS NOT NULL), m AS (SELECT c.raw_id, r.citer, max(r.year) AS year, max(r.citation_count) AS citations FROM r JOIN c ON c.openalex_id = r.w GROUP BY 1, 2)
+@query(f"""WITH {_FIRST}, c AS ({_SERVED} UNION ALL SELECT openalex_id, raw_id FROM f WHERE openalex_id NOT IN (SELECT openalex_id FROM ({_SERVED}))), r AS (SELECT openalex_id AS citer, year, citation_count, unnest(referenced_works) AS w FROM raw_papers WHERE batch_no > 0 AND openalex_id IS NOT NULL),
+m AS (SELECT c.raw_id, r.citer, max(r.year) AS year, max(r.citation_count) AS citations FROM r JOIN c ON c.openalex_id = r.w GROUP BY 1, 2)
 SELECT raw_id, citer, year, citations FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY coalesce(year, 0) DESC, coalesce(citations, 0) DESC, citer) AS p FROM m) WHERE p <= {phases.CITERS_KEPT}""")
 def snapshot_citers(spark, sf):
-    """The outside citers after the same phases."""
-    return _phased(spark, sf).citers.read()
+    """Which of the later works cite the records served, after the same phases."""
+    served = table(spark, sf, "paper_responses").where(F.col("openalex_id").rlike("^W[0-9]+$")).select("openalex_id", F.expr("cast(substr(openalex_id, 2) as bigint)").alias("raw_id")).distinct()
+    none = F.lit(None).cast("string")
+    return _phased(spark, sf, served.select("raw_id", "openalex_id", none.alias("abstract"), none.alias("doi"))).citers.read()
 
 
 @query("""WITH q AS (SELECT k, min(event_id) AS seq FROM (SELECT user_id || ':' || (json_extract(props, '$.k')::BIGINT // 4) AS k, event_id, event_type FROM events) GROUP BY k HAVING NOT bool_or(event_type = 'error'))

@@ -62,10 +62,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local runs) is one made and set.
+    Only where the session names none and runs on this machine alone (tests) is one made
+    and set; on a cluster a folder of one machine would be of no use to the others.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         at = tempfile.mkdtemp(prefix="scholion-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -37,9 +37,17 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{known[-1]}")
 
     def commit(self, frame: DataFrame, version: int) -> None:
-        """Write a version; one that is already complete is left alone, so replays change nothing."""
-        if version not in self.versions():
-            frame.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        """Write a version; where it or a later one is already complete nothing is done, so replays change nothing.
+
+        The version before stays for its readers, older ones go.
+        """
+        known = self.versions()
+        if known and version <= known[-1]:
+            return
+        frame.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        fs, _ = self._fs()
+        for old in known[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{old}"), True)
 
 
 def merge_stream(changes: DataFrame, target: VersionedTable, key: str, order: str, checkpoint: str) -> StreamingQuery:

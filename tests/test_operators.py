@@ -203,3 +203,66 @@ def test_streams(spark, tmp_path):
     seen = []
     live.phases_stream(stream, [lambda b, _: seen.append(("first", b.count())), lambda b, _: seen.append(("then", b.count()))], str(tmp_path / "check2")).awaitTermination()
     assert seen[0][0] == "first" and seen[1][0] == "then" and sum(n for w, n in seen if w == "first") == 6
+
+
+def test_keyed_writes(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, None, None), (None, "n", None)], "k int, s string, extra string")
+    new = spark.createDataFrame([(1, "late", 2), (1, "early", 1), (3, None, 1), (9, "z", 1), (None, "no", 1)], "k int, s string, n int")
+    out = R.set_fields(old, new, "k", {"s": "s"}, "n")
+    assert rows(out, "k", "s", "extra") == sorted([(1, "late", "x"), (2, "b", None), (3, None, None), (None, "n", None)], key=str)
+    kept = R.set_fields(old, new, "k", {"s": "s"}, "n", keep=True)
+    assert (3, None) in rows(kept, "k", "s") and (1, "late") in rows(kept, "k", "s")
+    assert rows(R.insert_new(old.select("k", "s"), new.select("k", "s"), "k", "s"), "k", "s") == sorted([(1, "a"), (2, "b"), (3, None), (None, "n"), (9, "z")], key=str)
+    assert rows(R.delete_keys(old, new, "k"), "k") == [(2,), (None,)]
+    stubs = spark.createDataFrame([("b", 2, ["x", "y"], {"p": "2", "q": "3"}, None), ("b", 1, ["y", None], {"p": "1"}, None), ("c", 3, None, None, "t")], "g string, i int, l array<string>, m map<string, string>, t string")
+    merged = {r.g: r for r in R.merge_groups(stubs, "g", "i", ["l"], ["t"], ["m"]).collect()}
+    assert (merged["b"].i, merged["b"].l, merged["b"].m, merged["b"].members) == (1, ["x", "y"], {"p": "1", "q": "3"}, 2) and merged["c"].l == [] and merged["c"].t == "t"
+
+
+def test_subgraphs_and_communities(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x")], "src string, dst string")
+    center = spark.createDataFrame([("a",)], "node string")
+    nodes, inner = G.subgraph(e, center, 1, "cited")
+    assert rows(nodes, "node", "hop", "is_center") == [("a", 0, True), ("b", 1, False)] and rows(inner, "src", "dst") == [("a", "b")]
+    nodes, inner = G.subgraph(e, center, 1, "citing")
+    assert rows(nodes, "node") == [("a",), ("c",)] and rows(inner, "src", "dst") == [("c", "a")]
+    found = dict(rows(G.communities(e), "node", "community"))
+    assert len(set(found.values())) == 2 and found["a"] == found["b"] == found["c"] and found["x"] == found["y"] == found["z"]
+    clustering = dict(rows(G.local_clustering(e), "node", "clustering"))
+    assert clustering["a"] == 1 and clustering["c"] == pytest.approx(1 / 3)
+    with pytest.raises(RuntimeError):
+        G.weak_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int"), max_rounds=1)
+
+
+def test_phases_are_the_same_in_one_batch_or_many_and_after_a_replay(spark, tmp_path):
+    from scholion.streaming import phases
+
+    kind = "raw_id long, openalex_id string, abstract string, doi string, year int, citation_count int, referenced_works array<string>"
+    works = [(10, "W1", "text", None, 2020, 3, ["W2", "W9"]), (11, "W3", "new", "10.1/x", 2021, None, ["W1"]), (12, "W1", "later", "10.1/y", 2022, 1, []), (13, None, "x", None, None, None, None), (14, "W3", "again", None, None, None, ["W1", None])]
+    corpus = spark.createDataFrame([(1, "W1", " ", None), (2, "W2", "own", "10.1/z")], "raw_id long, openalex_id string, abstract string, doi string")
+    states = []
+    for name, cuts in (("one", [works]), ("many", [works[:2], works[2:]])):
+        for part in cuts:
+            spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        made = phases.Phases(spark, str(tmp_path / name))
+        made.start(corpus)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "in"))
+        made.run(stream)
+        before = made.corpus.versions(), made.citers.versions()
+        made.run(stream, str(tmp_path / name / "second"))  # the same batches once more, as after a lost checkpoint
+        assert (made.corpus.versions(), made.citers.versions()) == before
+        states.append((rows(made.corpus.read(), "raw_id", "openalex_id", "injected"), rows(made.citers.read(), "raw_id", "citer")))
+    assert states[0] == states[1] == ([(1, "W1", False), (11, "W3", True), (2, "W2", False)], [(1, "W3"), (2, "W1")])
+    assert rows(made.corpus.read().where("raw_id = 1"), "abstract", "doi", "filled") == [("text", "10.1/y", "abstract,doi")]
+
+
+def test_a_replay_by_period_ends_where_one_step_does(spark):
+    r = [("t", "f", "record", f"o{i}", k, u, "2023-05-01") for i, (k, u) in enumerate([("a", "2024-01-01"), ("b", "2024-05-01"), ("c", "2024-01-01"), ("d", None), ("a", "2023-01-01")])]
+    p = [("record", "a", "2023-02-01", None), ("record", "b", "2024-06-01", None), ("record", "c", "2023-01-01", "2024-08-01"), ("record", "e", None, None)]
+    once = O.OrphanState().advance(refs(spark, r), known(spark, p))
+    state, taken = O.replay(refs(spark, r), known(spark, p), snapshots=True)
+    assert rows(O.found(state.open), "owner_id", "ref_id", "kind") == rows(O.found(once), "owner_id", "ref_id", "kind") == [("o1", "b", "late"), ("o2", "c", "deleted"), ("o3", "d", "missing"), ("o4", "a", "late")]
+    counts = {(str(x.period), x.kind): x.orphans for x in taken.collect()}
+    assert counts["2024-04-01", "late"] == 2 and counts["2024-07-01", "deleted"] == 1 and ("2024-04-01", "deleted") not in counts
+    empty = O.replay(refs(spark, []), known(spark, []), snapshots=True)
+    assert empty[0].open.count() == 0 and empty[1].count() == 0
