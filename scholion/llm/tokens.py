@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern by which byte-level BPE of this family cuts text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF = 1 << 14
+#: Code points up to which a part is encoded at once.
+LEAF = 1 << 10
 WINDOW = 64
 # A piece depends on at most two characters behind it (the letters of a contraction); one more for the place itself.
 LOOK_AHEAD = 3
