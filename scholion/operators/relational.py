@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from scholion.functions.text import has_value
+from scholion.runtime import drop, materialize
 
 
 def prioritized_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, Column, Column]], left_id: str, right_id: str) -> DataFrame:
@@ -290,3 +291,29 @@ def merge_groups(frame: DataFrame, group: str, ident: str, sets: list[str], firs
         entries = frame.select(group, ident, F.explode(c).alias("_k", "_v")).groupBy(group, "_k").agg(F.min_by("_v", ident).alias("_v"))
         base = base.join(entries.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(c)), group, "left")
     return base
+
+
+def arrival_dedup(frame: DataFrame, keys: list[tuple[str, Column]], order: str, max_rounds: int = 100) -> DataFrame:
+    """Rows kept in order of arrival: a row goes if any of its keys is held by a *kept* row that arrived before it.
+
+    Decided in rounds instead of one ordered pass: a row that is the first undecided one of
+    all its keys stays, which rules out the others of those keys. Rows that share no key
+    with an undecided one are decided at once, so rounds follow the longest chain of
+    partial matches. Null and blank keys are held by nobody; ``order`` must be unique.
+    """
+    pack = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), k.cast("string").alias("k")) for n, k in keys]), lambda x: has_value(x["k"]))
+    held = materialize(frame.select(F.col(order).alias("o"), F.explode(pack).alias("x")).select("o", "x.n", "x.k"), "held")
+    gone: list[DataFrame] = []
+    for _ in range(max_rounds):
+        firsts = held.groupBy("n", "k").agg(F.min("o").alias("first"))
+        judged = held.join(firsts, ["n", "k"])
+        kept = materialize(judged.groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("all")).where("all").select("o"), "kept")
+        taken = held.join(kept, "o", "left_semi").select("n", "k").distinct()
+        out = materialize(held.join(taken, ["n", "k"], "left_semi").join(kept, "o", "left_anti").select("o").distinct(), "gone")
+        gone.append(out)
+        rest = materialize(held.join(kept, "o", "left_anti").join(out, "o", "left_anti"), "held")
+        drop(held)
+        held = rest
+        if not held.limit(1).count():
+            return frame.join(reduce(DataFrame.unionByName, gone).select(F.col("o").alias(order)), order, "left_anti")
+    raise RuntimeError("deduplication did not settle")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.plans import analytics, entities, extraction, graphs, lookups, orphans, quality, retrieval, streams, writers
+from scholion.plans import analytics, entities, extraction, graphs, lookups, merges, orphans, quality, retrieval, streams, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (analytics, quality, entities, extraction, lookups, writers, graphs, retrieval, streams, orphans)
+MODULES = (analytics, quality, merges, entities, extraction, lookups, writers, graphs, retrieval, streams, orphans)
 
 
 def queries() -> dict[str, Query]:

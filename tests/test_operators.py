@@ -266,3 +266,19 @@ def test_a_replay_by_period_ends_where_one_step_does(spark):
     assert counts["2024-04-01", "late"] == 2 and counts["2024-07-01", "deleted"] == 1 and ("2024-04-01", "deleted") not in counts
     empty = O.replay(refs(spark, []), known(spark, []), snapshots=True)
     assert empty[0].open.count() == 0 and empty[1].count() == 0
+
+
+def test_rows_that_went_hold_no_keys(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(i, rng.choice(["a", "b", "c", "d", "", None]), rng.choice(["x", "y", "z", "u", "v", None])) for i in range(40)] + [(100 + i, f"p{i // 2}", f"q{(i + 1) // 2}") for i in range(12)]
+    kept, seen = [], set()
+    for i, a, b in data:
+        keys = {(n, k) for n, k in (("a", a), ("b", b)) if k}
+        if not keys & seen:
+            kept.append(i)
+            seen |= keys
+    frame = spark.createDataFrame(data, "i int, a string, b string")
+    assert [r[0] for r in rows(R.arrival_dedup(frame, [("a", F.col("a")), ("b", F.col("b"))], "i").orderBy("i"), "i")] == sorted(kept, key=str)
+    assert R.arrival_dedup(frame.limit(0), [("a", F.col("a"))], "i").count() == 0
