@@ -116,12 +116,12 @@ def topic_list(spark, sf):
 
 
 @query("""WITH s AS (SELECT doc_id, pub_year, section, len(text) AS n FROM documents WHERE text IS NOT NULL)
-SELECT coalesce(section, 'none') AS section, count(*) AS documents, sum(n)::BIGINT AS chars, ceil(sum(n) / 4.0)::BIGINT AS tokens, round(sum(n) / 4.0 / 1000 * 0.5, 4)::DOUBLE AS cost FROM s GROUP BY 1""")
+SELECT coalesce(section, 'none') AS section, count(*) AS documents, sum(n)::BIGINT AS chars, ceil(sum(n) / 4.0)::BIGINT AS tokens, round(sum(n) * 0.125, 3)::DOUBLE AS cost FROM s GROUP BY 1""")
 def cost_projection(spark, sf):
-    """What encoding each section would take: characters, tokens at four characters each, and cost at a price per thousand."""
+    """What encoding each section would take: characters, tokens at four characters each, and cost at an eighth a character."""
     n = F.length("text")
     sums = table(spark, sf, "documents").where("text is not null").groupBy(F.coalesce("section", F.lit("none")).alias("section")).agg(F.count(F.lit(1)).alias("documents"), F.sum(n).cast("bigint").alias("chars"))
-    return sums.select("*", F.ceil(F.col("chars") / 4.0).alias("tokens"), F.round(F.col("chars") / 4.0 / 1000 * 0.5, 4).alias("cost"))
+    return sums.select("*", F.ceil(F.col("chars") / 4.0).alias("tokens"), F.round(F.col("chars") * 0.125, 3).alias("cost"))
 
 
 @query(f"""WITH {_E}, o AS (SELECT src AS node, count(*) AS o FROM e GROUP BY src), i AS (SELECT dst AS node, count(*) AS i FROM e GROUP BY dst)

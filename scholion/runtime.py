@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def brief_plans(spark: SparkSession, letters: int = 4_000) -> Iterator[None]:
+    """While many small steps run, the driver keeps no more of each plan's text than this; it keeps all of them to the end."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(letters))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialised table that is no longer read."""
     spark = df.sparkSession
