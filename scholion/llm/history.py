@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from scholion.llm.components import connected_components
 from scholion.llm.identifiers import is_preprint, own_doi
 from scholion.llm.titles import MOST_DAMAGED, damaged_words, fold_words, same_but_slips, series_mark, shortened_forms, slips_allowed
-from scholion.runtime import drop, materialize, read_text, shared_dir, write_text
+from scholion.runtime import brief_plans, drop, materialize, read_text, shared_dir, write_text
 
 PREFIX = 5
 SKETCH = 1 << 15
@@ -343,6 +343,11 @@ def duplicates_against_history(papers: DataFrame) -> DataFrame:
     match nothing, as do rows without a batch; null years match any; repeated raw_ids
     count once; extra columns are ignored; empty tables give empty results.
     """
+    with brief_plans(papers.sparkSession):
+        return _delivered(papers)
+
+
+def _delivered(papers: DataFrame) -> DataFrame:
     spark = papers.sparkSession
     landed = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex[:12]}"
     made = normalised(papers.where("batch_no is not null"), "batch_no")
