@@ -54,11 +54,6 @@ def plain_doi(doi: Column) -> Column:
     return F.nullif(bare, F.lit(""))
 
 
-def after_slash(identifier: Column) -> Column:
-    """What follows the last slash of an identifier."""
-    return F.substring_index(identifier, "/", -1)
-
-
 def classify_identifier(reference: Column) -> Column:
     """title, doi, arxiv, openalex or unknown, tested in this order."""
     text = F.trim(reference)

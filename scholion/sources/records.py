@@ -27,9 +27,13 @@ def snapshot_works(spark: SparkSession, folder: str, done: list[str] | None = No
     return works.join(spark.createDataFrame([(d,) for d in done], "file string").distinct(), "file", "left_anti")
 
 
-def works_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same files as a stream: each is taken once, as the query's checkpoint records."""
-    return spark.readStream.schema(WORK).option("mode", "DROPMALFORMED").json(folder)
+def works_stream(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
+    """The same files as a stream: each is taken once, as the query's checkpoint records.
+
+    ``since`` leaves out works last updated before that date (yyyy-mm-dd); those without a date stay.
+    """
+    works = spark.readStream.schema(WORK).option("mode", "DROPMALFORMED").json(folder).where("id is not null")
+    return works if since is None else works.where(F.coalesce(F.left("updated_date", F.lit(10)) >= since, F.lit(True)))
 
 
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:

@@ -155,6 +155,12 @@ def test_snapshot_source_and_quarantine(spark, tmp_path):
         f.write('{"id": "W2", "title": "y"}\n')
     assert [r.id for r in records.snapshot_works(spark, str(tmp_path), done=[done]).collect()] == ["W2"]
     assert records.quarantined(spark, str(tmp_path)).count() == 1
+    (tmp_path / "live").mkdir()
+    (tmp_path / "live" / "a.json").write_text('{"id": "W1", "updated_date": "2024-01-01T00:00:00"}\n{"id": "W2", "updated_date": "2023-12-31"}\n{"id": "W3"}\n{"title": "no id"}\n')
+    taken = []
+    query = records.works_stream(spark, str(tmp_path / "live"), "2024-01-01").writeStream.foreachBatch(lambda b, _: taken.extend(r.id for r in b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(taken) == ["W1", "W3"]
 
 
 def test_record_sources(spark, tmp_path):
