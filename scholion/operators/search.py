@@ -66,7 +66,7 @@ def cosine_blocks(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "
     for number in range(blocks):
         some = [(r["qid"], list(r[vector])) for r in asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).collect()]
         keys = np.array([q for q, _ in some], dtype=np.int64)
-        matrix = np.array([v for _, v in some], dtype=np.float64).reshape(len(some), -1)
+        matrix = np.array([v for _, v in some], dtype=np.float64).reshape(len(some), -1 if some else 0)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(some) else np.ones((0, 1))
         held = spark.sparkContext.broadcast((keys, matrix / np.where(norms == 0, 1, norms)))
 
