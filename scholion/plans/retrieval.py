@@ -102,8 +102,9 @@ def _dense(spark, sf, scores, k):  # noqa: ANN001, ANN202
 
 def _fused(spark, sf):  # noqa: ANN001, ANN202
     """Both legs, each as far as its weight reaches, fused by reciprocal rank with the weights that the query's form asks for."""
-    words = materialize(_bm25(spark, sf, REACH), "words")
-    dense = _dense(spark, sf, words, int(REACH * 1.4))
+    scores = materialize(_scores(spark, sf), "scores")
+    words = S.top(scores, ["qid"], "score", "doc_id", REACH)
+    dense = _dense(spark, sf, scores, int(REACH * 1.4))
     weights = spark.createDataFrame([(i, *T.lexical_weights(q)) for i, q in ASKED], "qid int, wd double, wl double")
     leg = lambda frame, w: frame.join(F.broadcast(weights), "qid").where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(REACH) * F.col(w)))).select("qid", "doc_id", (F.col(w) / (F.lit(S.RRF_K) + F.col("rank"))).alias("s"))
     return leg(words, "wl").unionByName(leg(dense, "wd")).groupBy("qid", "doc_id").agg(F.sum("s").alias("score"))
