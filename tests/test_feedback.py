@@ -18,7 +18,7 @@ def corpus(spark, folder, first_vector):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["prf_research", "search_pipeline"])
+@pytest.mark.parametrize("name", ["prf_research", "search_pipeline", "rrf_fusion"])
 @pytest.mark.parametrize("first_vector", [60, 1000])
 def test_feedback_reaches_behind_the_first_results(spark, tmp_path, name, first_vector):
     at = corpus(spark, tmp_path, first_vector)
