@@ -181,15 +181,16 @@ class AcceptedIndex:
     under its title and once under its DOI, which is a title without year that slips do
     not change; ``titles`` the distinct titles by text; ``postings``
     their tokens; ``similar`` similar titles, in both directions. Every row tells the
-    delivery that brought it.
+    delivery that brought it: in letters, as generated code holds numbers but refers to
+    texts, so that all deliveries run the code that the first have compiled.
     """
 
     KEYS = {"classes": "key", "titles": "text_id", "postings": "tok", "similar": "title_id"}
     SCHEMA = {
-        "classes": "key BIGINT, year INT, open BOOLEAN, first_id BIGINT, delivery INT",
-        "titles": "text_id BIGINT, title_id BIGINT, words STRING, open BOOLEAN, delivery INT",
-        "postings": "tok BIGINT, text_id BIGINT, length INT, sig BIGINT, open BOOLEAN, delivery INT",
-        "similar": "title_id BIGINT, other BIGINT, delivery INT",
+        "classes": "key BIGINT, year INT, open BOOLEAN, first_id BIGINT, delivery STRING",
+        "titles": "text_id BIGINT, title_id BIGINT, words STRING, open BOOLEAN, delivery STRING",
+        "postings": "tok BIGINT, text_id BIGINT, length INT, sig BIGINT, open BOOLEAN, delivery STRING",
+        "similar": "title_id BIGINT, other BIGINT, delivery STRING",
     }
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> None:
@@ -197,6 +198,8 @@ class AcceptedIndex:
         self.folder = (folder or f"{shared_dir(spark)}/accepted-{uuid.uuid4().hex[:12]}").rstrip("/")
         self.buckets = buckets or max(8, spark.sparkContext.defaultParallelism)
         self.delivery, self.version, self.sketch = 0, 0, None
+        #: Folders from before deliveries were told in letters keep their numbers.
+        self.kind = "STRING"
         self._known: set[str] = set()
         self._prefix = f"accepted_{uuid.uuid4().hex[:12]}"
 
@@ -206,8 +209,9 @@ class AcceptedIndex:
         note = json.loads(read_text(spark, f"{folder.rstrip('/')}/note.json"))
         index = cls(spark, folder, note["buckets"])
         index.delivery, index.version, index.sketch = note["delivery"], note["version"], json.loads(read_text(spark, f"{index.folder}/sketch.json"))
+        index.kind = note.get("kind", "INT")
         for name in note["tables"]:
-            spark.sql(f"CREATE TABLE {index._table(name)} ({cls.SCHEMA[name]}) USING parquet CLUSTERED BY ({cls.KEYS[name]}) INTO {index.buckets} BUCKETS LOCATION '{index._path(name)}'")
+            spark.sql(f"CREATE TABLE {index._table(name)} ({index._schema(name)}) USING parquet CLUSTERED BY ({cls.KEYS[name]}) INTO {index.buckets} BUCKETS LOCATION '{index._path(name)}'")
             index._known.add(name)
         return index
 
@@ -220,20 +224,27 @@ class AcceptedIndex:
     def _append(self, name: str, rows: DataFrame) -> DataFrame:
         """Add rows of this delivery to a table; they come back as the table holds them."""
         columns = [c.split()[0] for c in self.SCHEMA[name].split(", ")]
-        made = rows.withColumn("delivery", F.lit(self.delivery)).select(*columns).repartition(self.buckets, self.KEYS[name])
+        made = rows.withColumn("delivery", self._now()).select(*columns).repartition(self.buckets, self.KEYS[name])
         made.write.mode("append").format("parquet").bucketBy(self.buckets, self.KEYS[name]).option("path", self._path(name)).saveAsTable(self._table(name))
         self._known.add(name)
-        return self.read(name).where(F.col("delivery") == self.delivery)
+        return self.read(name).where(F.col("delivery") == self._now())
+
+    def _now(self) -> Column:
+        """The delivery at hand, as the tables have it."""
+        return F.lit(str(self.delivery) if self.kind == "STRING" else self.delivery)
+
+    def _schema(self, name: str) -> str:
+        return self.SCHEMA[name].replace("delivery STRING", f"delivery {self.kind}")
 
     def read(self, name: str) -> DataFrame:
         """A table of the index; an empty one before its first rows."""
         if name not in self._known:
-            return self.spark.createDataFrame([], self.SCHEMA[name])
+            return self.spark.createDataFrame([], self._schema(name))
         return self.spark.table(self._table(name))
 
     def _note(self) -> None:
         """What ``open`` needs to know; a delivery counts from here on."""
-        note = {"delivery": self.delivery, "version": self.version, "buckets": self.buckets, "tables": sorted(self._known)}
+        note = {"delivery": self.delivery, "version": self.version, "buckets": self.buckets, "kind": self.kind, "tables": sorted(self._known)}
         write_text(self.spark, f"{self.folder}/note.json", json.dumps(note))
 
     def compact(self) -> None:
@@ -281,8 +292,8 @@ class AcceptedIndex:
         if self.delivery > 1:
             # A title is posted when it is new, and once more when its first row without a DOI of its own comes.
             held = self.read("titles").select("text_id", F.col("open").alias("was_open"))
-            held = texts.select("text_id").join(held, "text_id").groupBy("text_id").agg(F.bool_or("was_open").alias("was_open"))
-            texts = texts.join(held, "text_id", "left").where("was_open is null or open and not was_open").drop("was_open")
+            met = texts.join(held, "text_id", "left").groupBy("text_id", "title_id", "words", "open").agg(F.bool_or("was_open").alias("was_open"))
+            texts = met.where("was_open is null or open and not was_open").drop("was_open")
         new_titles = self._append("titles", texts)
         posted = self._append("postings", postings(new_titles, self.sketch))
         links = None
@@ -295,7 +306,7 @@ class AcceptedIndex:
     def _similar(self, posted: DataFrame) -> DataFrame:
         """(title_id, other), in both directions: titles of which one was posted now that differ by slips only; one of the two is open."""
         now = posted.select("tok", F.col("text_id").alias("a"), F.col("length").alias("la"), F.col("sig").alias("sa"), F.col("open").alias("oa"))
-        ever = self.read("postings").select("tok", F.col("text_id").alias("b"), F.col("length").alias("lb"), F.col("sig").alias("sb"), F.col("open").alias("ob"), (F.col("delivery") == self.delivery).alias("fb"))
+        ever = self.read("postings").select("tok", F.col("text_id").alias("b"), F.col("length").alias("lb"), F.col("sig").alias("sb"), F.col("open").alias("ob"), (F.col("delivery") == self._now()).alias("fb"))
         # Two titles posted now meet twice, once from either side; one is enough.
         near = (F.col("oa") | F.col("ob")) & (F.abs(F.col("la") - F.col("lb")) <= LENGTH_GAP) & F.when(F.col("fb"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
         # A bucket of the delivery's postings is held; the history's go by it unsorted.
@@ -317,22 +328,26 @@ class AcceptedIndex:
 
         A DOI is a place that all its rows visit. A title and year is one where a row
         without a DOI of its own has them; rows of the same or a similar title and a
-        matching year go there. All of a place are linked to its first.
+        matching year go there. A class is a place of its rows, too (``same``). All of a
+        place are linked to its first.
         """
         held, similar = self.read("classes").drop("delivery"), self.read("similar").select(F.col("title_id").alias("key"), F.col("other").alias("met"))
-        came = classes.select("key").distinct()
-        touched = came.unionByName(came.join(similar, "key").select(F.col("met").alias("key"))).distinct()
-        meets = touched.select("key", F.col("key").alias("met")).unionByName(touched.join(similar, "key")).select(F.col("key").alias("place"), F.col("met").alias("key"))
-        guests = meets.join(held, "key")
+        own_and_met = F.explode(F.array("key", "met")).alias("found")
+        touched = classes.select("key").distinct().join(similar, "key", "left").select(own_and_met).where("found is not null").distinct()
+        touched = touched.withColumnRenamed("found", "key").join(similar, "key", "left")
+        meets = touched.select(F.col("key").alias("place"), own_and_met).where("found is not null").distinct().withColumnRenamed("found", "key")
+        # Read four times below; written, it is planned once.
+        guests = materialize(meets.join(held, "key"), "guests")
         places = guests.where("open and place = key").select("place", F.col("year").alias("at")).distinct()
         in_year = (F.col("year") == -1) | (F.col("at") == -1) | (F.abs(F.col("year") - F.col("at")) <= YEAR_GAP)
-        visits = guests.join(places, "place").where(in_year).select("place", "at", "first_id")
-        heads = visits.groupBy("place", "at").agg(F.min("first_id").alias("dst"), F.max("first_id").alias("last")).where("dst <> last").drop("last")
-        met = visits.join(heads, ["place", "at"]).select(F.col("first_id").alias("src"), "dst")
+        visits = guests.join(places, "place").where(in_year).select("place", "at", F.col("first_id").alias("src"), F.lit(False).alias("same"))
         cid = F.xxhash64("dk", "open", F.coalesce("title_id", F.lit(0)), "year")
-        firsts = normal.groupBy(cid.alias("cid")).agg(F.min("raw_id").alias("dst"), F.max("raw_id").alias("last")).where("dst <> last").drop("last")
-        repeats = normal.select(F.col("raw_id").alias("src"), cid.alias("cid")).join(firsts, "cid").select("src", "dst")
-        return materialize(met.unionByName(repeats).where("src <> dst").distinct(), "links")
+        visits = visits.unionByName(normal.select(cid.alias("place"), "year", F.col("raw_id").alias("src"), F.lit(True).alias("same")).withColumnRenamed("year", "at"))
+        heads = visits.groupBy("place", "at", "same").agg(F.min("src").alias("dst"), F.max("src").alias("last")).where("dst <> last").drop("last")
+        met = visits.join(heads, ["place", "at", "same"]).select("src", "dst")
+        links = materialize(met.where("src <> dst").distinct(), "links")
+        drop(guests)
+        return links
 
 
 def duplicates_against_history(papers: DataFrame) -> DataFrame:

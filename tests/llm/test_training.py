@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scholion.llm import components, crosslink, history, identifiers, leaks, links, lookalike, names, people, sentences, survivors, titles, tokens
+from scholion.runtime import read_text, write_text
 
 
 def rows(df, *columns):
@@ -162,6 +164,36 @@ def test_a_delivery_is_never_paired_history_with_history(spark):
     assert {own} == {x for r in index.read("similar").collect() for x in (r.title_id, r.other) if x in (own,)} and index.read("similar").where(f"title_id <> {own} and other <> {own}").count() == 0
 
 
+def test_later_deliveries_run_the_code_of_earlier_ones(spark):
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    titles_ = lambda b: [(100 * b + i, b, f"Sparse parsing of letter records with model{chr(97 + i)} under noise", 2010, None if b else f"10.90001/abc.2010.{i}", "x") for i in range(10)]
+    index, took = history.AcceptedIndex(spark), []
+    for b in range(6):
+        before = compiled.getCount()
+        index.ingest(spark.createDataFrame(titles_(b), PAPER), link=b > 0)
+        took.append(compiled.getCount() - before)
+    index.close()
+    assert took[-1] < 70, took
+
+
+def test_an_index_with_numbered_deliveries_is_still_opened(spark):
+    data = [(1, 0, T, 2010, "10.90001/abc.2010.1", "x"), (10, 1, T.replace("beam", "baem"), 2011, None, "x"), (11, 2, T.upper(), 2010, None, "x")]
+    df = spark.createDataFrame(data, PAPER)
+    index = history.AcceptedIndex(spark)
+    index.kind = "INT"
+    index.ingest(df.where("batch_no = 0"), link=False)
+    found = index.ingest(df.where("batch_no = 1"))
+    index.close()
+    note = json.loads(read_text(spark, f"{index.folder}/note.json"))
+    del note["kind"]
+    write_text(spark, f"{index.folder}/note.json", json.dumps(note))
+    again = history.AcceptedIndex.open(spark, index.folder)
+    found = found.unionByName(again.ingest(df.where("batch_no = 2")))
+    again.compact()
+    assert dict(again.read("titles").dtypes)["delivery"] == "int" and again.read("titles").where("delivery = 3").count() == 1
+    assert rows(components.connected_components(found).where("node <> component").select("component", "node")) == [(1, 10), (1, 11)]
+
+
 def damaged(rng, word, edits):
     letters = list(word)
     for _ in range(edits):
